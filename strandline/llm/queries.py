@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import fingerprints, language_id, line_dedup, mixing, near_dedup, packing, quality, secrets, substring_dedup
+from . import ctw, fingerprints, language_id, line_dedup, mixing, near_dedup, packing, quality, secrets, substring_dedup
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(C.read(spark, sf_dir, "documents"), digests=True)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(C.read(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(C.read(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(C.read(spark, sf_dir, "documents"))
 
 
-ALL = (op1_line_dedup, op3_secret_scan, op4_mixing, op5_near_dedup, op6_language_id, op7_substring_dedup, op8_quality_rules, op9_packing, op10_fingerprints)
+ALL = (op1_line_dedup, op2_lm_score, op3_secret_scan, op4_mixing, op5_near_dedup, op6_language_id, op7_substring_dedup, op8_quality_rules, op9_packing, op10_fingerprints)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,6 +1,7 @@
 """Operator 7: substring dedup by sliding sentence spans.
 
-A sentence ends at a word that ends in `.`, `!` or `?`, or at a line's end. From every sentence of every document starts one
+A sentence ends at a word that ends in `.`, `!` or `?`, or at a line's end; one of more than `LONG` words also ends at each
+comma, semicolon, colon or bar in it, and one of more than three times as many also at words picked by their hash. From every sentence of every document starts one
 span: the shortest run of consecutive sentences that holds at least `min_words` words. Its hash (128 bits, over the words with
 A-Z lower-cased) depends on the run alone, so the spans of a passage that two documents share meet in a global join. The first
 span, by (doc_id, place), stays; all sentences that any other span covers are removed.
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MIN_WORDS = 20
+MIN_WORDS, LONG = 20, 24
 _HASH = C.RollingHash(7)
 _STOPS = np.isin(np.arange(256), np.frombuffer(b".!?", dtype=np.uint8))
+_PAUSES = np.isin(np.arange(256), np.frombuffer(b",;:|", dtype=np.uint8))
 _MULTIPLIERS = (0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB4B)
 
 
@@ -38,6 +40,10 @@ def sentences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     lines = np.concatenate(([0], np.cumsum(buf == 10)))
     following = np.append(starts[1:], len(buf))
     last = _STOPS[buf[ends - 1]] | (lines[following] > lines[ends]) if len(ends) else np.zeros(0, dtype=bool)
+    if len(ends):
+        size = np.diff(np.concatenate(([0], np.flatnonzero(last) + 1, [len(ends)])))
+        size = np.repeat(size, size)
+        last |= (size > LONG) & _PAUSES[buf[ends - 1]] | (size > 3 * LONG) & (hashes % C.U64(16) == 0)
     first = np.concatenate(([0], np.flatnonzero(last) + 1)) if len(ends) else np.zeros(1, dtype=np.int64)
     if len(ends) and not last[-1]:
         first = np.append(first, len(ends))
