@@ -5,10 +5,12 @@ often they occur; a text of one to four words has one run. Each element owns str
 hash throws darts into a strip as a Poisson process over rank. Darts inside the element's weight count, each falls on one of
 the signature's coordinates, and the earliest stays. Two sets agree at a coordinate with their weighted Jaccard similarity.
 
-Exact copies fold to one node first. Nodes that share a band meet in a bucket. In each bucket a pivot (another one in each
-band) is held against the members, by the exact weighted Jaccard similarity, so a bucket costs a comparison a member.
-A bucket whose members are then in one component is done; in the others more pivots follow, 2, 4, 8, ..., until every
-pair of a bucket has been compared or is in one component. No partner is capped. Classes are the components of the links.
+Exact copies fold to one node first. Nodes that share a band meet in a bucket. In each bucket one pivot (another one in each
+band) is held against the members by the exact weighted Jaccard similarity: a comparison a member, whatever the group's size.
+What a bucket still holds in several components is then compared in blocks of bounded size: its rows outside the largest
+component against all its rows, by sketches of 256 coordinates, each pair in the first band it shares only. Pairs whose
+sketches agree in at least 176 places (4.5 standard deviations below the similarity's mean) are verified exactly. No partner is
+capped and no group meets in one task. Classes are the components of the verified links.
 
 Cases: null and empty texts, and texts of white space alone, are each a class of their own. Null doc_ids take part like others;
 a class's id is the smallest doc_id in it, null if all are null. Repeated rows are copies. An empty table gives an empty result.
@@ -20,13 +22,16 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
+#: Coordinates of a sketch, the standard deviations that its estimate may fall short by, and the rows of a block.
+SKETCH, SLACK, BLOCK = 256, 4.5, 4096
 _HASH = C.RollingHash(5)
 _U = C.U64
 
@@ -136,9 +141,58 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int
 
 
 def _elements(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for b, texts in C.pieces(batches):
+    for b, texts in C.pieces(batches, mb=1.0):
         runs, at = C.windows(*C.words_of([x.lower() for x in texts], _HASH), words)
-        yield pa.RecordBatch.from_arrays([*_halves([_digest(x) for x in texts]), _longs(C.occurrence_hashes(runs, at), at)], names=["d1", "d2", "elements"])
+        sketch = signatures(*counted(runs, at), SKETCH).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([*_halves([_digest(x) for x in texts]), _longs(C.occurrence_hashes(runs, at), at), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["d1", "d2", "elements", "sketch"])
+
+
+def _near_in_block(ask: pd.DataFrame, all_: pd.DataFrame, least: int, similarity: float) -> list[tuple[np.ndarray, ...]]:
+    """Pairs of rows of one bucket, in different components, whose sketches agree in `least` places; only in the first band they share."""
+    a, b = (np.stack([np.frombuffer(x, dtype=np.uint8) for x in t["sketch"]]) for t in (ask, all_))
+    bands_a, bands_b = (np.stack(t["bands"].to_list()) for t in (ask, all_))
+    node_a, node_b, label_a, label_b, n_a, n_b = (t[x].to_numpy() for x in ("node", "label", "n") for t in (ask, all_))
+    main = ask["main"].iloc[0]
+    band = int(ask["band"].iloc[0])
+    out = []
+    for k in range(len(a)):
+        fits = (label_b != label_a[k]) & ((label_b == main) | (node_a[k] < node_b)) & (np.minimum(n_b, n_a[k]) >= similarity * np.maximum(n_b, n_a[k]))
+        at = np.flatnonzero(fits)
+        at = at[(b[at] == a[k]).sum(axis=1) >= least]
+        at = at[~(bands_b[at, :band] == bands_a[k, :band]).any(axis=1)] if band else at
+        if len(at):
+            x, y, nx, ny = np.full(len(at), node_a[k]), node_b[at], np.full(len(at), n_a[k]), n_b[at]
+            swap = x > y
+            out.append((np.where(swap, y, x), np.where(swap, x, y), np.where(swap, ny, nx), np.where(swap, nx, ny)))
+    return out
+
+
+def _blocks(group: pa.Table, least: int, similarity: float) -> pa.Table:
+    rows = group.to_pandas()
+    out = []
+    for _, part in rows.groupby(["bucket", "i", "j"], sort=False):
+        ask, all_ = part[part["asks"]], part[~part["asks"]]
+        if len(ask) and len(all_):
+            out += _near_in_block(ask, all_, least, similarity)
+    cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64)] * 4
+    return pa.table({k: pa.array(c.astype(np.int64)) for k, c in zip(("a", "b", "na", "nb"), cols, strict=True)})
+
+
+def _rest_pairs(rest: DataFrame, nodes: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs among the rows (bucket, band, node, n, label) that buckets still hold in several components."""
+    by = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
+    main = by.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("x"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    main = main.select("bucket", F.col("x.label").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("mj"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("x.m")) / BLOCK)).cast("int").alias("mi"))
+    rows = rest.join(main, "bucket").join(nodes.select("node", "bands"), "node").join(elements.select("node", "sketch"), "node")
+    chunk = F.xxhash64("node", "bucket")
+    keep = ["bucket", "band", "node", "n", "label", "main", "bands", "sketch"]
+    ask = rows.where("label <> main").select(*keep, F.pmod(chunk, F.col("mi")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("mj") - 1)).alias("j"), F.lit(True).alias("asks"))
+    all_ = rows.select(*keep, F.explode(F.sequence(F.lit(0), F.col("mi") - 1)).alias("i"), F.pmod(chunk, F.col("mj")).cast("int").alias("j"), F.lit(False).alias("asks"))
+    both = C.materialize(ask.unionByName(all_), "blocks")
+    slots = max(1, both.count() // BLOCK)
+    least = int(SKETCH * similarity - SLACK * (SKETCH * similarity * (1 - similarity)) ** 0.5)
+    dealt = both.withColumn("slot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(slots)))
+    return dealt.groupBy("slot").applyInArrow(lambda t: _blocks(t, least, similarity), "a long, b long, na long, nb long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -180,52 +234,27 @@ def near_rows(rows: DataFrame, similarity: float = SIMILARITY, words: int = WORD
     nodes = signed.where("n > 0").groupBy(*key).agg(F.min(F.struct("__row", "doc_id")).alias("first"), F.max("n").alias("n"), F.first("bands").alias("bands"))
     nodes = C.materialize(nodes.select(*key, F.col("first.__row").alias("node"), F.col("first.doc_id").alias("doc_id"), "n", "bands"), "nodes")
 
-    members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    open_ = C.materialize(members.join(shared, "bucket").withColumns({"turn": F.xxhash64("node", "bucket"), "label": F.col("node")}), "buckets")
-    involved = open_.select("node").distinct().join(nodes.select("node", "doc_id", *key), "node")
+    members = C.materialize(members.join(shared, "bucket").withColumns({"turn": F.xxhash64("node", "bucket"), "label": F.col("node")}), "buckets")
+    involved = members.select("node").distinct().join(nodes.select("node", "doc_id", *key), "node")
     texts = own.join(involved.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
-    found = texts.mapInArrow(lambda it: _elements(it, words), "d1 long, d2 long, elements array<long>")
-    elements = C.materialize(found.join(involved.select("node", *key), key).select("node", "elements").dropDuplicates(["node"]), "elements")
-
-    labels, tested, pivots_each = None, [], 1
-    while True:
-        if pivots_each == 1:  # by an aggregate, which takes hot buckets apart
-            low = open_.groupBy("bucket").agg(F.min(F.struct("turn", "node", "n")).alias("p"))
-            pivots = low.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.node").alias("pivot_label"))
-        else:
-            nth = F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "node"))
-            pivots = open_.withColumn("nth", nth).where(F.col("nth") <= pivots_each).select("bucket", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("label").alias("pivot_label"))
-        pivots = C.materialize(pivots, "pivots")
-        pairs = _pairs(open_, pivots, similarity)
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = C.materialize(pairs, "pairs")
-        tested.append(pairs.select("a", "b"))
-        links = C.materialize(_linked(pairs, elements, similarity), "near-links")
-        labels = _joined_labels(labels, links)
-        rest = open_.drop("label").join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        rest = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        unlike = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-        open_ = C.materialize(rest.join(unlike, "bucket"), "buckets")
-        if open_.isEmpty():
-            break
-        pivots_each *= 2
+    found = texts.mapInArrow(lambda it: _elements(it, words), "d1 long, d2 long, elements array<long>, sketch binary")
+    elements = C.materialize(found.join(involved.select("node", *key), key).select("node", "elements", "sketch").dropDuplicates(["node"]), "elements")
+
+    low = members.groupBy("bucket").agg(F.min(F.struct("turn", "node", "n")).alias("p"))
+    pivots = C.materialize(low.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.node").alias("pivot_label")), "pivots")
+    links = C.materialize(_linked(_pairs(members, pivots, similarity), elements, similarity), "near-links")
+    labels = components(links)
+    rest = members.drop("label", "turn").join(pivots.select("bucket", "pivot"), "bucket").where("node <> pivot").drop("pivot")
+    rest = C.materialize(rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "rest")
+    more = C.materialize(_linked(_rest_pairs(rest, nodes, elements, similarity), elements, similarity), "near-links")
+    if not more.isEmpty():
+        labels = components(links.union(more))
     of = nodes.select(*key, "node").join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("node"))
     return signed.select("__row", "doc_id", *key, "n").join(of, key, "left").select("__row", "doc_id", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("__row")).alias("node"))
 
 
-def _joined_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels after more links: components over the old labels, which stand for their members."""
-    if labels is None:
-        return components(links)
-    old = labels.select(F.col("node").alias("old"), "label")
-    up = links.join(old.withColumnRenamed("old", "a").withColumnRenamed("label", "la"), "a", "left").join(old.withColumnRenamed("old", "b").withColumnRenamed("label", "lb"), "b", "left")
-    over = components(up.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-    known = labels.select("node", F.col("label").alias("mid")).union(over.select("node", "node")).dropDuplicates(["node"])
-    return C.materialize(known.join(over.select(F.col("node").alias("mid"), "label"), "mid", "left").select("node", F.coalesce("label", "mid").alias("label")), "labels")
-
-
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of the class) and class_size (rows) of each row."""
     rows = docs.select("doc_id", "text").withColumn("__row", F.monotonically_increasing_id())
