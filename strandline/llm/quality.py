@@ -95,7 +95,9 @@ def cutoffs(found: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     """A row for each stratum with labels: the cutoff of each rule, null where no cutoff passed."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     held = found.join(good, "doc_id")
-    over = [F.struct(F.lit(name).alias("rule"), F.size(F.filter(F.array(*map(F.lit, RULES[name])), lambda c, s=score: s > c)).alias("above"), F.array(*map(F.lit, RULES[name])).alias("grid")) for name, score in scores().items()]
+    below = lambda grid, score: F.size(F.filter(grid, lambda c: c < score))
+    grids = {name: F.array(*map(F.lit, values)) for name, values in RULES.items()}
+    over = [F.struct(F.lit(name).alias("rule"), below(grids[name], score).alias("above"), grids[name].alias("grid")) for name, score in scores().items()]
     by = held.select(F.coalesce("stratum", F.lit("")).alias("name"), F.col("stratum").isNull().alias("none"), F.explode(F.array(*over)).alias("r")).groupBy("name", "none", "r.rule", "r.grid", "r.above").agg(F.count(F.lit(1)).alias("m"))
     key = ["name", "none", "rule"]
     each = by.groupBy(*key, "grid").agg(F.sum("m").alias("n"), F.collect_list(F.struct("above", "m")).alias("counts"))
