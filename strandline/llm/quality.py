@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-ALPHA, DELTA = 0.05, 0.05
+ALPHA, DELTA = 0.02, 0.05
 _GAP = r"[\x20\x09-\x0D]+"
 
 #: Rule -> cutoffs from strict to lax; a document is rejected by a rule if its score is above the cutoff.
