@@ -34,10 +34,17 @@ def runs(seqs: list[bytes], p: SsrParams) -> list[tuple[int, int, int, str, int,
     out = []
     for size in range(p.min_motif, p.max_motif + 1):
         same = (buf[:-size] == buf[size:]) & base[:-size]
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).view(np.int8)))
-        start, end = edge[::2], edge[1::2] + size
-        long_ = end - start >= p.min_length
-        start, end = start[long_], end[long_]
+        # places where `need` marks follow on each other, by doubling; random bases leave next to none
+        need, have = max(1, p.min_length - size), 1
+        while have < need:
+            step = min(have, need - have)
+            same = same[:-step] & same[step:]
+            have += step
+        at = np.flatnonzero(same)
+        if not len(at):
+            continue
+        apart = np.flatnonzero(np.diff(at) > 1)
+        start, end = at[np.append(0, apart + 1)], at[np.append(apart, len(at) - 1)] + need + size
         owner = np.searchsorted(begin, start, side="right") - 1
         for s, e, k, b in zip(start.tolist(), end.tolist(), owner.tolist(), begin[owner].tolist(), strict=True):
             motif = text[s : s + size].decode()

@@ -57,7 +57,7 @@ class SsrParams:
     @property
     def by_runs(self) -> bool:
         """Whether maximal runs give the dictionary's result: default motifs, and runs too long for two classes to share a key."""
-        return self.motifs is None and self.min_length >= 2 * self.max_motif - 2
+        return self.motifs is None and self.min_length >= 2 * self.max_motif - 2 and self.min_length > self.max_motif
 
 
 def _lines(path: str | Path):
