@@ -8,9 +8,9 @@ the signature's coordinates, and the earliest stays. Two sets agree at a coordin
 Exact copies fold to one node first. Nodes that share a band meet in a bucket. In each bucket one pivot (another one in each
 band) is held against the members by the exact weighted Jaccard similarity: a comparison a member, whatever the group's size.
 What a bucket still holds in several components is then compared in blocks of bounded size: its rows outside the largest
-component against all its rows, by sketches of 256 coordinates, each pair in the first band it shares only. Pairs whose
-sketches agree in at least 176 places (4.5 standard deviations below the similarity's mean) are verified exactly. No partner is
-capped and no group meets in one task. Classes are the components of the verified links.
+component against all its rows, by sketches of 1024 coordinates, each pair in the first band it shares only. Pairs whose
+sketches agree in no fewer places than four standard deviations below the similarity's mean (0.75 for 0.8) are verified
+exactly. No partner is capped and no group meets in one task. Classes are the components of the verified links.
 
 Cases: null and empty texts, and texts of white space alone, are each a class of their own. Null doc_ids take part like others;
 a class's id is the smallest doc_id in it, null if all are null. Repeated rows are copies. An empty table gives an empty result.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
-#: Coordinates of a sketch, the standard deviations that its estimate may fall short by, and the rows of a block.
-SKETCH, SLACK, BLOCK = 256, 4.5, 4096
+#: Coordinates of a sketch and of the part compared first, the standard deviations that their estimates may fall short by, and the rows of a block.
+SKETCH, PART, SLACK, BLOCK = 1024, 256, 4.0, 4096
 _HASH = C.RollingHash(5)
 _U = C.U64
 
@@ -147,8 +147,13 @@ def _elements(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([*_halves([_digest(x) for x in texts]), _longs(C.occurrence_hashes(runs, at), at), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["d1", "d2", "elements", "sketch"])
 
 
-def _near_in_block(ask: pd.DataFrame, all_: pd.DataFrame, least: int, similarity: float) -> list[tuple[np.ndarray, ...]]:
-    """Pairs of rows of one bucket, in different components, whose sketches agree in `least` places; only in the first band they share."""
+def _least(k: int, similarity: float) -> int:
+    """The places of k in which two sketches of the similarity agree at least."""
+    return int(k * similarity - SLACK * (k * similarity * (1 - similarity)) ** 0.5)
+
+
+def _near_in_block(ask: pd.DataFrame, all_: pd.DataFrame, similarity: float) -> list[tuple[np.ndarray, ...]]:
+    """Pairs of rows of one bucket, in different components, whose sketches agree often enough; only in the first band they share."""
     a, b = (np.stack([np.frombuffer(x, dtype=np.uint8) for x in t["sketch"]]) for t in (ask, all_))
     bands_a, bands_b = (np.stack(t["bands"].to_list()) for t in (ask, all_))
     node_a, node_b, label_a, label_b, n_a, n_b = (t[x].to_numpy() for x in ("node", "label", "n") for t in (ask, all_))
@@ -158,7 +163,8 @@ def _near_in_block(ask: pd.DataFrame, all_: pd.DataFrame, least: int, similarity
     for k in range(len(a)):
         fits = (label_b != label_a[k]) & ((label_b == main) | (node_a[k] < node_b)) & (np.minimum(n_b, n_a[k]) >= similarity * np.maximum(n_b, n_a[k]))
         at = np.flatnonzero(fits)
-        at = at[(b[at] == a[k]).sum(axis=1) >= least]
+        for width in (PART, SKETCH):
+            at = at[(b[at, :width] == a[k, :width]).sum(axis=1) >= _least(width, similarity)]
         at = at[~(bands_b[at, :band] == bands_a[k, :band]).any(axis=1)] if band else at
         if len(at):
             x, y, nx, ny = np.full(len(at), node_a[k]), node_b[at], np.full(len(at), n_a[k]), n_b[at]
@@ -167,13 +173,13 @@ def _near_in_block(ask: pd.DataFrame, all_: pd.DataFrame, least: int, similarity
     return out
 
 
-def _blocks(group: pa.Table, least: int, similarity: float) -> pa.Table:
+def _blocks(group: pa.Table, similarity: float) -> pa.Table:
     rows = group.to_pandas()
     out = []
     for _, part in rows.groupby(["bucket", "i", "j"], sort=False):
         ask, all_ = part[part["asks"]], part[~part["asks"]]
         if len(ask) and len(all_):
-            out += _near_in_block(ask, all_, least, similarity)
+            out += _near_in_block(ask, all_, similarity)
     cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64)] * 4
     return pa.table({k: pa.array(c.astype(np.int64)) for k, c in zip(("a", "b", "na", "nb"), cols, strict=True)})
 
@@ -190,9 +196,8 @@ def _rest_pairs(rest: DataFrame, nodes: DataFrame, elements: DataFrame, similari
     all_ = rows.select(*keep, F.explode(F.sequence(F.lit(0), F.col("mi") - 1)).alias("i"), F.pmod(chunk, F.col("mj")).cast("int").alias("j"), F.lit(False).alias("asks"))
     both = C.materialize(ask.unionByName(all_), "blocks")
     slots = max(1, both.count() // BLOCK)
-    least = int(SKETCH * similarity - SLACK * (SKETCH * similarity * (1 - similarity)) ** 0.5)
     dealt = both.withColumn("slot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(slots)))
-    return dealt.groupBy("slot").applyInArrow(lambda t: _blocks(t, least, similarity), "a long, b long, na long, nb long")
+    return dealt.groupBy("slot").applyInArrow(lambda t: _blocks(t, similarity), "a long, b long, na long, nb long")
 
 
 def components(links: DataFrame) -> DataFrame:
