@@ -40,12 +40,28 @@ def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+_working: list[str] = []
+
+
+def _staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, which first deletes the working tables of the stage before it, as that one's result is written by then."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(spark, _working)
+        before = len(common.tables_made())
+        out = stage(spark, docs, sf_dir)
+        _working[:] = common.tables_made()[before:]
+        return out
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", _language),
-    ("line_dedup", _lines),
-    ("near_dedup", _near),
-    ("mixing", _mix),
-    ("packing", _pack),
+    ("language_id", _staged(_language)),
+    ("line_dedup", _staged(_lines)),
+    ("near_dedup", _staged(_near)),
+    ("mixing", _staged(_mix)),
+    ("packing", _staged(_pack)),
 ]
 
 #: SQL has no form for the profiles, signatures, draws and packing; tests hold the stages against brute force.

@@ -36,9 +36,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_made: list[str] = []
+
+
+def tables_made() -> list[str]:
+    """Paths of the tables that materialize has made in this process, in order."""
+    return list(_made)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete working tables that no frame needs any more; for callers that have written what they made from them."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(path)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
     """Keep Arrow batches small enough for long texts in small Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

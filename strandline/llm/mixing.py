@@ -99,16 +99,16 @@ def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(size, pa.int64())], names=[*names, "__size"])
 
 
-def mix_sources(docs: DataFrame, block: int = BLOCK, most: int = MOST, seed: int = SEED, with_rows: bool = False) -> tuple[DataFrame, DataFrame, list]:
+def mix_sources(docs: DataFrame, block: int = BLOCK, most: int = MOST, seed: int = SEED) -> tuple[DataFrame, DataFrame, list]:
     """(rows, uses, sources): rows has __row, __size and the place __from in its source's stream; uses has (__s, __b, __uses).
 
-    sources: (source, size, target) by index __s. with_rows keeps all of docs' columns in rows.
+    sources: (source, size, target) by index __s. A column __row of docs is taken over; the texts are not.
     """
     spark = docs.sparkSession
     C.bounded_batches(spark)
     text = F.col("text").cast("string")
-    kept = docs.columns if with_rows else ["doc_id", "source"]
-    own = docs.select(*kept, F.xxhash64(text).alias("__h"), F.monotonically_increasing_id().alias("__row"), text.alias("__text"))
+    row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
+    own = docs.select("doc_id", "source", F.xxhash64(text).alias("__h"), row.alias("__row"), text.alias("__text"))
     schema = own.drop("__text").schema.add("__size", "long")
     rows = C.materialize(own.mapInArrow(_sized, schema), "mix-rows")
     found = rows.groupBy("source").agg(F.sum("__size").alias("size"), F.count(F.lit(1)).alias("n")).collect()  # a row a source
@@ -193,8 +193,10 @@ def _written(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mix as rows of docs' columns: whole texts where all of a document's blocks are taken, else the runs of words taken; a row for each repeat."""
-    rows, uses, _ = mix_sources(docs, block, most, seed, with_rows=True)
+    texts = C.materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "mix-texts")
+    rows, uses, _ = mix_sources(texts.select("doc_id", "source", "text", "__row"), block, most, seed)
     rows = C.materialize(rows, "mix-placed")
     spans = taken_blocks(rows, uses, block).groupBy("__row").agg(F.collect_list(F.struct("__lo", "__hi", "__uses")).alias("__spans"))
     names = docs.columns
-    return rows.drop("__s", "__from").join(spans, "__row").mapInArrow(lambda it: _written(it, names), docs.schema)
+    sized = spans.join(rows.select("__row", "__size"), "__row")
+    return texts.join(sized, "__row").mapInArrow(lambda it: _written(it, names), docs.schema)
