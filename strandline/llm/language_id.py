@@ -79,14 +79,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def folded() -> pd.DataFrame:
         return pd.concat(found).groupby(["lang", "key"], as_index=False)["n"].sum()
 
-    for b, texts in C.pieces(batches, mb=2.0):
+    for b, texts in C.pieces(batches, mb=0.4):
         key, text = ngrams([x.decode() for x in texts])
         lang, names = pd.factorize(np.array(b.column("lang").to_pylist(), dtype=object))
         code, keys = pd.factorize(key)
         pair = np.bincount(lang[text] * len(keys) + code, minlength=len(names) * len(keys))
         hit = np.flatnonzero(pair)
         found.append(pd.DataFrame({"lang": names[hit // max(1, len(keys))], "key": keys[hit % max(1, len(keys))], "n": pair[hit]}))
-        if sum(map(len, found)) > 2_000_000:
+        if sum(map(len, found)) > 400_000:
             found = [folded()]
     if found:
         out = folded()
@@ -146,13 +146,13 @@ class Model:
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for b, texts in C.pieces(batches, mb=0.5):
+    for b, texts in C.pieces(batches, mb=0.2):
         lang, score, _ = model.predict([x.decode() for x in texts])
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
 def _accepted(batches: Iterator[pa.RecordBatch], model: Model, known: float) -> Iterator[pa.RecordBatch]:
-    for b, texts in C.pieces(batches, mb=0.5):
+    for b, texts in C.pieces(batches, mb=0.2):
         lang, _, share = model.predict([x.decode() for x in texts])
         yield b.filter(pa.array([x != "und" and s >= known for x, s in zip(lang, share, strict=True)]))
 
