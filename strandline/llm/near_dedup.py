@@ -126,7 +126,7 @@ def _longs(values: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for b, texts in C.pieces(batches, mb=1.0):
+    for b, texts in C.pieces(batches, mb=0.4):
         runs, at = C.windows(*C.words_of([x.lower() for x in texts], _HASH), words)
         sig = signatures(*counted(runs, at), bands * rows).reshape(len(texts), bands, rows)
         band = np.zeros((len(texts), bands), dtype=_U)
@@ -141,7 +141,7 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int
 
 
 def _elements(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for b, texts in C.pieces(batches, mb=1.0):
+    for b, texts in C.pieces(batches, mb=0.1):  # some ten thousand darts a text
         runs, at = C.windows(*C.words_of([x.lower() for x in texts], _HASH), words)
         sketch = signatures(*counted(runs, at), SKETCH).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([*_halves([_digest(x) for x in texts]), _longs(C.occurrence_hashes(runs, at), at), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["d1", "d2", "elements", "sketch"])
