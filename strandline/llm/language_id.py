@@ -172,3 +172,28 @@ def keep_known(docs: DataFrame, top: int = TOP, known: float = KNOWN) -> DataFra
     """docs without the rows whose text has no letter or whose n-grams are strange to every profile."""
     model = trained(docs, top)
     return docs.mapInArrow(lambda it: _accepted(it, model, known), docs.schema)
+
+
+def oracle(top: int = TOP) -> str:
+    """The same in DuckDB SQL: n-grams of padded words, ranks, and distances summed over joins.
+
+    crc32 is not in SQL: the split is unrolled bit by bit over the decimal digits of doc_id.
+    """
+    step = lambda c: f"CASE WHEN ({c}) & 1 = 1 THEN xor(({c}) >> 1, 3988292384) ELSE ({c}) >> 1 END"
+    chars = "list_transform(string_split(CAST(coalesce(CAST(doc_id AS VARCHAR), '') AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))"
+    byte = "list_reduce(list_prepend(xor(crc, b) & 255, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: " + step("c") + ")"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {chars}), lambda crc, b: xor(crc >> 8, {byte})), 4294967295)"
+    code = lambda i: f"CASE substr(g, {i}, 1) WHEN '' THEN 0 WHEN '_' THEN 1 ELSE ord(substr(g, {i}, 1)) + 2 END::BIGINT"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, text, {crc} % {FOLDS} = {HELD} AS held_out FROM documents),
+w AS (SELECT r, word, count(*) AS m FROM (SELECT r, concat('_', unnest(regexp_extract_all(lower(text), '\p{{L}}+')), '_') AS word FROM d) GROUP BY ALL),
+g AS (SELECT r, substr(word, i, k) AS g, m FROM (SELECT r, word, m, k, unnest(range(1, length(word) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(k)) WHERE substr(word, i, k) <> '_'),
+f AS MATERIALIZED (SELECT r, key, sum(m) AS n FROM (SELECT r, m, {code(1)} + {code(2)} * 2097152 + {code(3)} * 4398046511104 AS key FROM g) GROUP BY ALL),
+own AS (SELECT r, key, rk FROM (SELECT r, key, row_number() OVER (PARTITION BY r ORDER BY n DESC, key) - 1 AS rk FROM f) WHERE rk < {top}),
+prof AS MATERIALIZED (SELECT lang, key, pk FROM (SELECT lang, key, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, key) - 1 AS pk FROM f JOIN d USING (r) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, key) WHERE pk < {top}),
+langs AS (SELECT DISTINCT lang FROM prof),
+dist AS (SELECT own.r, langs.lang, CAST(sum(CASE WHEN pk IS NULL THEN {top} ELSE abs(pk - rk) END) AS DOUBLE) AS dist FROM own CROSS JOIN langs LEFT JOIN prof ON prof.lang = langs.lang AND prof.key = own.key GROUP BY ALL),
+best AS (SELECT r, lang, dist, lead(dist) OVER (PARTITION BY r ORDER BY dist, lang) AS d2, row_number() OVER (PARTITION BY r ORDER BY dist, lang) AS nth FROM dist)
+SELECT doc_id, held_out, coalesce(best.lang, 'und') AS lang_pred, CASE WHEN best.lang IS NULL OR d2 = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, (d2 - dist) / d2)) END AS score
+FROM d LEFT JOIN best ON best.r = d.r AND nth = 1
+"""

@@ -274,3 +274,19 @@ def drop_near(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORD
     of = near_rows(rows.select("__row", "doc_id", "text"), similarity, words)
     stay = of.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("stay")).select(F.col("stay.__row").alias("__row"))
     return rows.join(stay, "__row", "left_semi").drop("__row")
+
+
+def oracle(similarity: float = SIMILARITY, words: int = WORDS) -> str:
+    """The definition in DuckDB SQL: all pairs of texts that share a run, their exact similarity, and the components of the links."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS MATERIALIZED (SELECT r, w[i:i + {words - 1}] AS x, count(*) AS c FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {words - 2}, 2))) AS i FROM w WHERE len(w) > 0) GROUP BY ALL),
+n AS (SELECT r, sum(c) AS n FROM sh GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, sum(least(a.c, b.c)) AS m FROM sh a JOIN sh b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE m >= {similarity} * (x.n + y.n - m)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(r, root) AS (SELECT r, r FROM w UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.r),
+c AS (SELECT r, min(root) AS root FROM reach GROUP BY r)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, count(*) OVER (PARTITION BY root) AS class_size FROM w JOIN c USING (r)
+"""

@@ -120,3 +120,34 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
         rejected = rejected | F.coalesce(score > F.col(name), F.lit(False))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))
+
+
+def oracle(alpha: float = ALPHA, delta: float = DELTA) -> str:
+    """The same in DuckDB SQL, by unnested words, windows and whole binomial sums."""
+    a = alpha / len(RULES)
+    grid = ", ".join(f"('{rule}', {c})" for rule, cs in RULES.items() for c in cs)
+    share = {"symbols_a_word": ("n_symbols", "n_words"), "capitals": ("n_capitals", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
+    scored = " UNION ALL ".join(f"SELECT r, doc_id, stratum, '{rule}' AS rule, coalesce(CAST({x} AS DOUBLE) / nullif({y}, 0), 0.0) AS score FROM f" for rule, (x, y) in share.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+win AS (SELECT r, i, w[i:i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+dup AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+cov AS (SELECT r, count(DISTINCT i + j) AS n FROM dup, (VALUES (0), (1), (2)) AS o(j) GROUP BY r),
+f AS (SELECT w.r, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines,
+      CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_capitals FROM w LEFT JOIN cov ON cov.r = w.r),
+s AS ({scored}),
+g(rule, cutoff) AS (VALUES {grid}),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+k AS (SELECT coalesce(stratum, '') AS name, stratum IS NULL AS none, s.rule, g.cutoff, count(*) AS n, CAST(sum(CASE WHEN score > g.cutoff THEN 1 ELSE 0 END) AS BIGINT) AS k
+      FROM s JOIN good USING (doc_id) JOIN g ON g.rule = s.rule GROUP BY ALL),
+p AS (SELECT *, CASE WHEN k >= n * {a} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a}) + (n - i) * ln(1 - {a})))) END AS p,
+      (SELECT count(DISTINCT (name, none)) FROM k) AS strata FROM k),
+ok AS (SELECT *, bool_and(p <= {delta} / {len(RULES)} / strata) OVER (PARTITION BY name, none, rule ORDER BY cutoff DESC) AS ok FROM p),
+lim AS (SELECT name, none, rule, min(cutoff) AS cutoff FROM ok WHERE ok GROUP BY ALL),
+bad AS (SELECT DISTINCT s.r FROM s JOIN lim ON lim.name = coalesce(stratum, '') AND lim.none = (stratum IS NULL) AND lim.rule = s.rule WHERE score > lim.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND bad.r IS NULL AS kept
+FROM f LEFT JOIN bad ON bad.r = f.r
+"""
