@@ -41,5 +41,5 @@ def test_entry_and_contract(spark):
 def test_no_duplicated_kernels_and_pruned_scans(spark):
     plan = queries.merge_summary(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
-    scan = queries.sql_scan_filter(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    scan = queries.QUERIES["sql_scan_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate)" in scan and "l_returnflag" not in scan.split("ReadSchema")[1]
