@@ -1,10 +1,14 @@
 """Operator 7: substring dedup by sliding sentence spans.
 
-A sentence ends at a word that ends in `.`, `!` or `?`, or at a line's end; one of more than `LONG` words also ends at each
-comma, semicolon, colon or bar in it, and one of more than three times as many also at words picked by their hash. From every sentence of every document starts one
-span: the shortest run of consecutive sentences that holds at least `min_words` words. Its hash (128 bits, over the words with
-A-Z lower-cased) depends on the run alone, so the spans of a passage that two documents share meet in a global join. The first
-span, by (doc_id, place), stays; all sentences that any other span covers are removed.
+A sentence ends at a word that ends in `.`, `!` or `?`, or at a line's end. Running text is cut further: of each `GAP`
+consecutive words none of which ends a sentence, the one with the least hash (of equal ones the last) ends one. So no sentence
+is longer than `GAP` words, and a cut depends on fewer than `GAP` words to each side, never on the sentence around a passage.
+
+From every sentence of every document starts one span: the shortest run of consecutive sentences that holds at least
+`min_words` words. Its hash (128 bits, over the words with A-Z lower-cased) depends on the run alone, so the spans of a passage
+that two documents share meet in a global join. The first span, by (doc_id, place), stays; all sentences that any other span
+covers are removed. The spans of a longer run cover all of it but less than one sentence at its end, so of a repeated passage
+of at least `min_words + 3 * GAP` words fewer than `3 * GAP` words stay: a sentence at its start, two at its end.
 
 Cases: null doc_ids come last in the order. Rows with the same doc_id and text are one document: each gets the same result.
 Null, empty and blank texts have no sentences and stay as they are. An empty table gives an empty result. Texts of any length
@@ -23,13 +27,25 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MIN_WORDS, LONG = 20, 24
+MIN_WORDS, GAP = 20, 6
 _HASH = C.RollingHash(7)
 _STOPS = np.isin(np.arange(256), np.frombuffer(b".!?", dtype=np.uint8))
-_PAUSES = np.isin(np.arange(256), np.frombuffer(b",;:|", dtype=np.uint8))
 _MULTIPLIERS = (0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB4B)
 
 
+def least_of_windows(values: np.ndarray, k: int) -> np.ndarray:
+    """The place of the least value (by its upper 32 bits, of equal ones the last) of each window of k values."""
+    n = len(values)
+    if n < k:
+        return np.zeros(0, dtype=np.int64)
+    low = C.U64(0xFFFFFFFF)
+    least, held = (values & ~low) | (low - np.arange(n, dtype=C.U64)), 1
+    while held < k:
+        step = min(held, k - held)
+        least, held = np.minimum(least[:-step], least[step:]), held + step
+    return (low - (least & low)).astype(np.int64)
+
+
 def sentences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first word of each sentence and the end, byte start of each sentence in its text, text of each sentence, word hashes)."""
     low = [x.lower() for x in texts]
@@ -40,10 +56,7 @@ def sentences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     lines = np.concatenate(([0], np.cumsum(buf == 10)))
     following = np.append(starts[1:], len(buf))
     last = _STOPS[buf[ends - 1]] | (lines[following] > lines[ends]) if len(ends) else np.zeros(0, dtype=bool)
-    if len(ends):
-        size = np.diff(np.concatenate(([0], np.flatnonzero(last) + 1, [len(ends)])))
-        size = np.repeat(size, size)
-        last |= (size > LONG) & _PAUSES[buf[ends - 1]] | (size > 3 * LONG) & (hashes % C.U64(16) == 0)
+    last[least_of_windows(np.where(last, C.U64(0), hashes), GAP)] = True
     first = np.concatenate(([0], np.flatnonzero(last) + 1)) if len(ends) else np.zeros(1, dtype=np.int64)
     if len(ends) and not last[-1]:
         first = np.append(first, len(ends))
@@ -94,7 +107,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(__key, i, n): the non-first occurrences of spans that occur more than once anywhere."""
     C.bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("__key", _key())
-    found = C.materialize(own.mapInArrow(lambda it: _spans(it, min_words), "doc_id long, __key long, i int, n int, h1 long, h2 long"), "spans")
+    found = own.mapInArrow(lambda it: _spans(it, min_words), "doc_id long, __key long, i int, n int, h1 long, h2 long")  # made twice, which spares its table on disk
     more = found.groupBy("h1").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h1")
     shared = C.materialize(found.join(more, "h1"), "shared-spans")
     order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "__key", "i")

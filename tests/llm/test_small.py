@@ -360,6 +360,21 @@ def test_substring_dedup(spark, texts):
     assert substring_dedup.drop_spans(spark.createDataFrame([], SCHEMA), report=True).count() == 0
 
 
+def test_passages_in_running_text_are_removed(spark):
+    """By windows of 50 words, not by sentences(): the passage is set into hosts with and without stops, pauses and lines."""
+    rng = random.Random(5)
+    some = lambda n, stop=0: " ".join(f"{rng.choice(WORDS)}{rng.randint(0, 999)}" + ("." if stop and k % stop == stop - 1 else "") for k in range(n))
+    passages = [some(50, stop) for stop in (0, 0, 0, 9, 22, 31) * 4]
+    hosts = [lambda p: some(7) + " " + p, lambda p: some(40, 5) + " " + p + " " + some(5) + ".", lambda p: some(90) + " " + p + " " + some(60), lambda p: some(12, 4) + "\n" + p + "\n" + some(30)]
+    docs = [hosts[(k + side) % 4](p) for side in (0, 1) for k, p in enumerate(passages)]
+    got = {r.doc_id: r for r in substring_dedup.drop_spans(frame(spark, docs), report=True).collect()}
+    for k, p in enumerate(passages):
+        first, second = got[k], got[len(passages) + k]
+        kept = set(second.text.split())
+        assert first.n_removed == 0 and sum(w in kept for w in p.split()) < 20, k
+        assert set(docs[len(passages) + k].split()) - set(p.split()) <= kept | {p.split()[0], p.split()[-1]}, k
+
+
 # ---- 8 ----
 
 
