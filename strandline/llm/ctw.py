@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-DEPTH, FOLDS, HELD = 4, 7, 2
+DEPTH, FOLDS, HELD = 6, 7, 2
 PACKET_MB, CHUNK_MB = 40.0, 2.0
 #: Byte runs of a group, all contexts that end in the same two bytes in one; a pair of bytes has at most 256**3 runs.
 GROUP_RUNS = 50_000
@@ -257,8 +257,8 @@ def _scored(packets: pa.Table, values: pa.Table, depth: int, tokens: int, distin
 
 def score(docs: DataFrame, depth: int = DEPTH, packet_mb: float = PACKET_MB) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of each row."""
-    if not 2 <= depth <= 7:
-        raise ValueError("depth must be 2 to 7 bytes")
+    if not 2 <= depth <= 6:  # a key of 8 bytes could be negative, as word keys are
+        raise ValueError("depth must be 2 to 6 bytes")
     C.bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (C.hash_id(F.col("doc_id")) % FOLDS == HELD).alias("held"), F.col("text").cast("string").alias("text"))
     packets = C.materialize(own.mapInArrow(lambda it: _packed(it, packet_mb), "packet long, ids array<long>, held array<boolean>, blob binary"), "packets")
@@ -272,7 +272,7 @@ def score(docs: DataFrame, depth: int = DEPTH, packet_mb: float = PACKET_MB) ->
     top = top_levels(upper.groupBy("last", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lw").alias("lw")).toPandas())  # 256 * 255 rows at most
     run_values = grouped.groupBy("g").applyInArrow(lambda t: _values(t, depth, top), "key long, value double")
     word_values = totals.where("key < 0").select("key", F.col("n").cast("double").alias("value"))
-    values = C.materialize(word_values.unionByName(run_values), "values")
+    values = word_values.unionByName(run_values)
     back = found.select("packet", "key").join(values, "key")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     return packets.groupBy("packet").cogroup(back.groupBy("packet")).applyInArrow(lambda a, b: _scored(a, b, depth, tokens, distinct), schema)

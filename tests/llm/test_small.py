@@ -186,6 +186,17 @@ def test_language_model_equals_the_textbook(spark, texts):
     assert alone.base_score == 0 and alone.train_tokens == 0 and alone.score == pytest.approx(3 * 8 * math.log10(0.5))
 
 
+def test_language_model_beats_single_tokens_on_held_out_texts(spark):
+    scored = ctw.score(C.read(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")).where("held_out")
+    r = scored.selectExpr("sum(score) AS score", "sum(base_score) AS base", "max(score) AS most").first()
+    assert 0.95 * r.base < r.score < 0 and r.most < 0
+
+
+def test_language_model_rejects_keys_that_would_be_negative(spark, texts):
+    with pytest.raises(ValueError):
+        ctw.score(frame(spark, texts[:3]), depth=7)
+
+
 # ---- 3 ----
 
 
