@@ -3,7 +3,8 @@
 The patterns find assignments, access keys and long hexadecimal strings. The token-efficiency test adds what they miss: a run
 of at least `MIN_RUN` characters of `[A-Za-z0-9+/_=-]` that a tiktoken vocabulary cuts into short tokens (few characters a
 token) is a random string. Before the test, known digests (hexadecimal of a digest's length, UUIDs), numbers and identifiers
-(words joined by signs or by capitals) are excluded, and so is what overlaps a pattern's span.
+(words joined by signs or by capitals, whose letters the vocabulary cuts into long tokens) are excluded, and so is what overlaps
+a pattern's span.
 
 Cases: null text is empty: no spans, and the digest is that of the empty string. Repeated rows and null doc_ids are rows like
 others. An empty table gives an empty result. Whole texts are scanned, whatever their length.
@@ -38,6 +39,8 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Words, numbers after them, and their joints: snake_case, kebab-case, paths, CamelCase. Possessive, so that no text makes it slow.
 IDENTIFIER = re.compile(r"(?:[+/_=-]*+(?>[A-Z]{2,}+[a-z]*+|[A-Z]?[a-z]{2,}+|[A-Za-z]{1,2}(?![A-Za-z])|[0-9]++(?![A-Za-z])))++[+/_=-]*+")
 
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the patterns' spans, by start and then by kind."""
@@ -62,8 +65,16 @@ def _ranks():
     return tokens.byte_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def is_identifier(run: str, chars_a_token: float = CHARS_A_TOKEN) -> bool:
+    """Whether a run has the form of an identifier and its letter parts are words to the vocabulary, taken together."""
+    if not IDENTIFIER.fullmatch(run):
+        return False
+    parts = PART.findall(run)
+    return sum(map(len, parts)) > chars_a_token * sum(len(_ranks().encode_ordinary(x)) for x in parts)
+
+
 def is_random(run: str, chars_a_token: float = CHARS_A_TOKEN) -> bool:
-    if run.isdigit() or not any(c.isalpha() for c in run) or DIGEST.fullmatch(run) or UUID.fullmatch(run) or IDENTIFIER.fullmatch(run):
+    if run.isdigit() or not any(c.isalpha() for c in run) or DIGEST.fullmatch(run) or UUID.fullmatch(run) or is_identifier(run, chars_a_token):
         return False
     return len(run) <= chars_a_token * len(_ranks().encode_ordinary(run))
 

@@ -219,6 +219,15 @@ def test_secret_scan(spark):
     assert secrets.scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_random_letters_of_one_case_are_no_identifiers():
+    rng = random.Random(3)
+    alone = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24)) for _ in range(200)]
+    for form in (str, str.upper, lambda x: "ghp_" + x, lambda x: "-".join(x[i : i + 6] for i in range(0, 24, 6))):
+        assert sum(secrets.is_random(form(x)) for x in alone) >= 198
+    for x in ("snake_case_name_is_long_enough", "internationalization", "CamelCaseNamesOfClasses", "MAX_NUMBER_OF_CONNECTIONS_2", "src/main/resources/application-settings"):
+        assert not secrets.is_random(x), x
+
+
 # ---- 4 ----
 
 
