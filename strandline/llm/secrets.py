@@ -2,9 +2,10 @@
 
 The patterns find assignments, access keys and long hexadecimal strings. The token-efficiency test adds what they miss: a run
 of at least `MIN_RUN` characters of `[A-Za-z0-9+/_=-]` that a tiktoken vocabulary cuts into short tokens (few characters a
-token) is a random string. Before the test, known digests (hexadecimal of a digest's length, UUIDs), numbers and identifiers
-(words joined by signs or by capitals, whose letters the vocabulary cuts into long tokens) are excluded, and so is what overlaps
-a pattern's span.
+token) is a random string. Patterns' spans, UUIDs and hexadecimal strings of a digest's length are cut out first; what is left
+of a run is tested as a whole, and if that is not random, so is what stands between its words and numbers, and each part
+between signs of that. Numbers and identifiers (words joined by signs or by capitals, whose letters the vocabulary cuts into
+long tokens) are excluded.
 
 Cases: null text is empty: no spans, and the digest is that of the empty string. Repeated rows and null doc_ids are rows like
 others. An empty table gives an empty result. Whole texts are scanned, whatever their length.
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import tokens
 
-MIN_RUN, CHARS_A_TOKEN = 20, 2.2
+#: Runs with the form of an identifier and four letters a part are tested from `MIN_LETTERS` characters on: the ratio does not tell
+#: shorter ones from long words.
+MIN_RUN, MIN_LETTERS, CHARS_A_TOKEN = 12, 16, 2.2
 KINDS = ("assign", "access", "hex", "random")
 
 # The patterns of the base spans. Greedy runs with a least length match what the open-ended ones do after the length test.
@@ -35,10 +38,12 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 DIGEST = re.compile(r"[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}")
+SIGNS = re.compile(r"[+/_=-]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Words, numbers after them, and their joints: snake_case, kebab-case, paths, CamelCase. Possessive, so that no text makes it slow.
 IDENTIFIER = re.compile(r"(?:[+/_=-]*+(?>[A-Z]{2,}+[a-z]*+|[A-Z]?[a-z]{2,}+|[A-Za-z]{1,2}(?![A-Za-z])|[0-9]++(?![A-Za-z])))++[+/_=-]*+")
 
+KNOWN = re.compile(r"(?<![A-Za-z0-9])(?:%s|%s)(?![A-Za-z0-9])" % (UUID.pattern, DIGEST.pattern))
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -65,26 +70,59 @@ def _ranks():
     return tokens.byte_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-def is_identifier(run: str, chars_a_token: float = CHARS_A_TOKEN) -> bool:
-    """Whether a run has the form of an identifier and its letter parts are words to the vocabulary, taken together."""
+def is_words(run: str, chars_a_token: float = CHARS_A_TOKEN) -> bool:
+    """Whether a run has the form of an identifier and its letter parts, in any case, are words to the vocabulary, taken together."""
     if not IDENTIFIER.fullmatch(run):
         return False
+    cut = lambda x: len(_ranks().encode_ordinary(x))
     parts = PART.findall(run)
-    return sum(map(len, parts)) > chars_a_token * sum(len(_ranks().encode_ordinary(x)) for x in parts)
+    return sum(map(len, parts)) > chars_a_token * sum(min(cut(x), cut(x.lower()), cut(" " + x.lower())) for x in parts)
 
 
 def is_random(run: str, chars_a_token: float = CHARS_A_TOKEN) -> bool:
-    if run.isdigit() or not any(c.isalpha() for c in run) or DIGEST.fullmatch(run) or UUID.fullmatch(run) or is_identifier(run, chars_a_token):
+    if run.isdigit() or not any(c.isalpha() for c in run) or DIGEST.fullmatch(run) or UUID.fullmatch(run):
+        return False
+    parts = PART.findall(run)
+    if len(run) < MIN_LETTERS and sum(map(len, parts)) >= 4 * len(parts) and IDENTIFIER.fullmatch(run) or is_words(run, chars_a_token):
         return False
     return len(run) <= chars_a_token * len(_ranks().encode_ordinary(run))
 
 
-def random_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def random_parts(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the random strings in a run: the whole, or else what stands between its words, or else single parts of that."""
+    if len(run) < MIN_RUN:
+        return []
+    if known := KNOWN.search(run):
+        s, e = known.span()
+        return random_parts(run[:s]) + [(e + a, e + b) for a, b in random_parts(run[e:])]
+    if is_random(run):
+        return [(0, len(run))]
+    edges = [0, *(x for m in SIGNS.finditer(run) for x in m.span()), len(run)]
+    parts = [(s, e) for s, e in zip(edges[::2], edges[1::2], strict=True) if s < e]
+    groups: list[list[tuple[int, int]]] = [[]]
+    for s, e in parts:
+        if run[s:e].isdigit() or is_words(run[s:e]):
+            groups.append([])
+        else:
+            groups[-1].append((s, e))
     out = []
+    for group in filter(None, groups):
+        whole = group[0][0], group[-1][1]
+        tried = [whole] if is_random(run[slice(*whole)]) else group
+        out += [(s, e) for s, e in tried if e - s >= MIN_RUN and is_random(run[s:e])]
+    return out
+
+
+def random_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    out, at = [], 0
+    held = sorted((s, e) for s, e, _ in taken)
     for m in RUN.finditer(text):
-        s, e = m.span()
-        if not any(a < e and s < b for a, b, _ in taken) and is_random(m[0]):
-            out.append((s, e, "random"))
+        start, end = m.span()
+        while at < len(held) and held[at][1] <= start:
+            at += 1
+        for s, e in [*(x for x in held[at:] if x[0] < end), (end, end)]:
+            out += [(start + a, start + b, "random") for a, b in random_parts(text[start : max(start, s)])]
+            start = max(start, e)
     return out
 
 

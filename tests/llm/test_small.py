@@ -228,6 +228,19 @@ def test_random_letters_of_one_case_are_no_identifiers():
         assert not secrets.is_random(x), x
 
 
+def test_random_parts_of_runs():
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    found = lambda text: [text[s:e] for s, e, _ in secrets.random_spans(text, secrets.base_spans(text))]
+    forms = ("/application/configuration/production/access_key={}", "/store/deadbeefdeadbeef00/{}/objects", "id_123e4567-e89b-12d3-a456-426614174000-{}", "see {}.")
+    for form in forms:
+        for n in (12, 16, 24):
+            keys = [some(n) for _ in range(100)]
+            assert sum(any(k in x for x in found(form.format(k))) for k in keys) >= 97, (form, n)
+    for text in ("/application/configuration/production/access_key=", "id_123e4567-e89b-12d3-a456-426614174000", "/store/deadbeefdeadbeef00/objects/list", "MULTIPROCESSING Zusammenarbeit STORE_SUBSCR"):
+        assert not found(text), text
+
+
 # ---- 4 ----
 
 
