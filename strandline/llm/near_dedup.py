@@ -9,8 +9,8 @@ Exact copies fold to one node first. Nodes that share a band meet in a bucket. I
 band) is held against the members by the exact weighted Jaccard similarity: a comparison a member, whatever the group's size.
 What a bucket still holds in several components is then compared in blocks of bounded size: its rows outside the largest
 component against all its rows, by sketches of 1024 coordinates, each pair in the first band it shares only. Pairs whose
-sketches agree in no fewer places than four standard deviations below the similarity's mean (0.75 for 0.8) are verified
-exactly. No partner is capped and no group meets in one task. Classes are the components of the verified links.
+sketches agree in no fewer places than five standard deviations below the similarity's mean (0.74 for 0.8; six for the
+first 256 coordinates, compared before) are verified exactly. No partner is capped and no group meets in one task. Classes are the components of the verified links.
 
 Cases: null and empty texts, and texts of white space alone, are each a class of their own. Null doc_ids take part like others;
 a class's id is the smallest doc_id in it, null if all are null. Repeated rows are copies. An empty table gives an empty result.
@@ -31,7 +31,8 @@ from . import common as C
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: Coordinates of a sketch and of the part compared first, the standard deviations that their estimates may fall short by, and the rows of a block.
-SKETCH, PART, SLACK, BLOCK = 1024, 256, 4.0, 4096
+#: At exactly 0.8, the whole sketch loses a link with a chance of 5.1e-7, the part with one of 5.3e-9.
+SKETCH, PART, SLACK, PART_SLACK, BLOCK = 1024, 256, 5.0, 6.0, 4096
 _HASH = C.RollingHash(5)
 _U = C.U64
 
@@ -149,7 +150,7 @@ def _elements(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Reco
 
 def _least(k: int, similarity: float) -> int:
     """The places of k in which two sketches of the similarity agree at least."""
-    return int(k * similarity - SLACK * (k * similarity * (1 - similarity)) ** 0.5)
+    return int(k * similarity - (SLACK if k == SKETCH else PART_SLACK) * (k * similarity * (1 - similarity)) ** 0.5)
 
 
 def _near_in_block(ask: pd.DataFrame, all_: pd.DataFrame, similarity: float) -> list[tuple[np.ndarray, ...]]:

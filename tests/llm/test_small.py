@@ -317,6 +317,12 @@ def test_near_dedup_of_a_large_group_with_outsiders(spark, monkeypatch):
     assert [r.class_id for r in near_dedup.near_classes(frame(spark, out)).orderBy("doc_id").collect()] == near_model(out)
 
 
+def test_sketches_lose_few_links():
+    """Exact binomial tails at the similarity itself, of the part and of the whole sketch, whose places agree with chance 0.8."""
+    lost = lambda k: sum(math.comb(k, i) * 4**i for i in range(near_dedup._least(k, 0.8))) / 5**k
+    assert lost(near_dedup.SKETCH) < 1e-6 and lost(near_dedup.PART) < 1e-8
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     values = C.mix(np.arange(400, dtype=C.U64))
