@@ -12,6 +12,7 @@ doc_ids stay null. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 import math
 import zlib
 from collections import Counter
@@ -26,8 +27,9 @@ from . import common as C
 from . import tokens
 
 SIZE, END_ID = 1024, 2
-#: Rows dealt to a bucket of ordinals; the moves that the local search may make before it stops with what it has.
-BUCKET_ROWS, MOVES = 50_000, 20_000
+#: Rows dealt to a bucket of ordinals.
+BUCKET_ROWS = 50_000
+_LOG = logging.getLogger(__name__)
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -140,12 +142,16 @@ def _without(items: tuple[int, ...], gone: tuple[int, ...]) -> tuple[int, ...]:
     return tuple(left)
 
 
-def improve(bins: Bins, moves: int = MOVES) -> Bins:
-    """Swap-based local search over underfull bins; stops at the least possible number of bins, or when no swap helps."""
+def improve(bins: Bins, moves: int | None = None) -> Bins:
+    """Swap-based local search over underfull bins; stops at the least possible number of bins, or when no swap helps.
+
+    Each move raises the sum of the squares of the bins' contents, so it ends. A bound on moves, if given, is logged when met.
+    """
     total = sum(sum(k) * n for k, n in bins.groups.items())
     least = -(-total // bins.size)
     stuck: set[tuple] = set()
-    while moves > 0 and bins.count() > least:
+    whole = True
+    while bins.count() > least:
         under = sorted((k for k in bins.groups if sum(k) < bins.size), key=lambda k: (sum(k), k))
         found = None
         for a in under:
@@ -163,6 +169,14 @@ def improve(bins: Bins, moves: int = MOVES) -> Bins:
                 break
             stuck.add(a)
         if not found:
+            if whole:
+                break
+            stuck.clear()  # once more over all pairs, contents that came after a group was stuck among them
+            whole = True
+            continue
+        whole = False
+        if moves == 0:
+            _LOG.warning("packing stopped at its bound on moves with %d sequences; %d is the least possible", bins.count(), least)
             break
         a, b, (_, _, out, back) = found
         n = bins.groups[a] // 2 if a == b else min(bins.groups[a], bins.groups[b])
@@ -173,11 +187,11 @@ def improve(bins: Bins, moves: int = MOVES) -> Bins:
         bins.add(_without(b, back) + out, n)
         if len(bins.groups) != before:
             stuck.clear()  # new contents may take what did not fit before
-        moves -= 1
+        moves = None if moves is None else moves - 1
     return bins
 
 
-def plan(counts: dict[int, int], size: int = SIZE, moves: int = MOVES) -> Bins:
+def plan(counts: dict[int, int], size: int = SIZE, moves: int | None = None) -> Bins:
     return improve(best_fit({k: n for k, n in counts.items() if n}, size), moves)
 
 
@@ -203,7 +217,7 @@ def _placed(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([b.column(n) for n in rest] + [pa.array(table[at, 2] + nth - table[at, 1]), pa.array(table[at, 3])], names=[*rest, "sequence_id", "offset"])
 
 
-def pack(docs: DataFrame, size: int = SIZE, with_ids: bool = False, moves: int = MOVES) -> DataFrame:
+def pack(docs: DataFrame, size: int = SIZE, with_ids: bool = False, moves: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece (and its ids as 32-bit bytes)."""
     C.bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -503,6 +503,25 @@ def test_local_search_empties_bins():
         assert len({(x, first) for x, first, _, _ in rows.tolist()}) == len(rows)
 
 
+def test_local_search_ends_only_where_no_swap_helps():
+    rng = random.Random(9)
+    for case in range(150):
+        done = packing.plan(Counter(rng.randint(9, 60) for _ in range(120)), 100)
+        if done.count() == -(-sum(sum(k) * n for k, n in done.groups.items()) // 100):
+            continue
+        under = [k for k in done.groups if sum(k) < 100]
+        left = [(a, b) for a in under for b in under if (a != b or done.groups[a] > 1) and any(sum(b) - sum(a) + d > 0 for d, _, _ in packing._swaps(a, b, 100 - sum(b)))]
+        assert not left, case
+
+
+def test_local_search_has_no_bound_of_its_own(caplog):
+    start = packing.Bins(10)
+    for items in ((6, 2), (5, 3), (4,)):
+        start.add(items, 1)
+    assert packing.improve.__defaults__ == packing.plan.__defaults__[1:] == (None,)
+    assert packing.improve(start, 0).count() == 3 and "bound on moves" in caplog.text
+
+
 def test_two_tokenizers_agree_on_the_vocabulary():
     import public_tokenizers
 
