@@ -67,14 +67,14 @@ def hash_id(col: Column) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", mb: float = 2.0) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches whose texts hold about mb megabytes, with the texts as UTF-8 (null: empty)."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", mb: float = 2.0, rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches of at most `rows` rows whose texts hold about mb megabytes, with the texts as UTF-8 (null: empty)."""
     for batch in batches:
         texts = [x.encode() if x else b"" for x in batch.column(column).to_pylist()]
         start = held = 0
         for i, x in enumerate(texts):
             held += len(x)
-            if held >= mb * 1e6:
+            if held >= mb * 1e6 or i + 1 - start >= rows:
                 yield batch.slice(start, i + 1 - start), texts[start : i + 1]
                 start, held = i + 1, 0
         if start < len(texts):

@@ -83,9 +83,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, text = ngrams([x.decode() for x in texts])
         lang, names = pd.factorize(np.array(b.column("lang").to_pylist(), dtype=object))
         code, keys = pd.factorize(key)
-        pair = np.bincount(lang[text] * len(keys) + code, minlength=len(names) * len(keys))
-        hit = np.flatnonzero(pair)
-        found.append(pd.DataFrame({"lang": names[hit // max(1, len(keys))], "key": keys[hit % max(1, len(keys))], "n": pair[hit]}))
+        hit, n = np.unique(lang[text] * len(keys) + code, return_counts=True)
+        found.append(pd.DataFrame({"lang": names[hit // max(1, len(keys))], "key": keys[hit % max(1, len(keys))], "n": n}))
         if sum(map(len, found)) > 400_000:
             found = [folded()]
     if found:
@@ -120,9 +119,8 @@ class Model:
         if not self.langs or not len(key):
             return ["und"] * n, [0.0] * n, [0.0] * n
         code, keys = pd.factorize(key, sort=True)
-        pair = np.bincount(text * len(keys) + code, minlength=n * len(keys))
-        hit = np.flatnonzero(pair)
-        doc, gram, count = hit // len(keys), hit % len(keys), pair[hit]
+        hit, count = np.unique(text * len(keys) + code, return_counts=True)  # only pairs that occur, so no array of texts by n-grams
+        doc, gram = hit // len(keys), hit % len(keys)
         order = np.lexsort((gram, -count, doc))
         doc, gram = doc[order], gram[order]
         rank = np.arange(len(doc)) - np.searchsorted(doc, np.arange(n))[doc]

@@ -5,12 +5,15 @@ often they occur; a text of one to four words has one run. Each element owns str
 hash throws darts into a strip as a Poisson process over rank. Darts inside the element's weight count, each falls on one of
 the signature's coordinates, and the earliest stays. Two sets agree at a coordinate with their weighted Jaccard similarity.
 
-Exact copies fold to one node first. Nodes that share a band meet in a bucket. In each bucket one pivot (another one in each
-band) is held against the members by the exact weighted Jaccard similarity: a comparison a member, whatever the group's size.
-What a bucket still holds in several components is then compared in blocks of bounded size: its rows outside the largest
-component against all its rows, by sketches of 1024 coordinates, each pair in the first band it shares only. Pairs whose
-sketches agree in no fewer places than five standard deviations below the similarity's mean (0.74 for 0.8; six for the
-first 256 coordinates, compared before) are verified exactly. No partner is capped and no group meets in one task. Classes are the components of the verified links.
+Exact copies fold to one node first. Nodes that share a band meet in a bucket. In a few rounds, each bucket holds one pivot
+against its members by the exact weighted Jaccard similarity: a comparison a member, whatever the group's size. A round's pivots
+are least by one order of all nodes, so a group of copies meets the same pivot in most of its bands and each pair is tested once.
+After each round the links are contracted: only one link for two components goes on, and only buckets that still hold several
+components. What is left after the rounds is compared in blocks of bounded size: a bucket's rows outside its largest component
+against all its rows, by sketches of 1024 coordinates, each pair in the first band it shares only. Pairs whose sketches agree in
+no fewer places than five standard deviations below the similarity's mean (0.74 for 0.8; six for the first 256 coordinates,
+compared before) are verified exactly. No partner is capped and no group meets in one task. Classes are the components of the
+verified links.
 
 Cases: null and empty texts, and texts of white space alone, are each a class of their own. Null doc_ids take part like others;
 a class's id is the smallest doc_id in it, null if all are null. Repeated rows are copies. An empty table gives an empty result.
@@ -33,6 +36,8 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: Coordinates of a sketch and of the part compared first, the standard deviations that their estimates may fall short by, and the rows of a block.
 #: At exactly 0.8, the whole sketch loses a link with a chance of 5.1e-7, the part with one of 5.3e-9.
 SKETCH, PART, SLACK, PART_SLACK, BLOCK = 1024, 256, 5.0, 6.0, 4096
+#: Rounds of pivots, and the darts thrown at one go (some ten arrays of so many numbers are held).
+ROUNDS, DARTS = 3, 300_000
 _HASH = C.RollingHash(5)
 _U = C.U64
 
@@ -52,25 +57,40 @@ def strips(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(element), np.concatenate(level)
 
 
+def throws(k: int) -> float:
+    """The darts that fill k coordinates but for a chance of about e**-2."""
+    return k * np.log(k) + 2 * k
+
+
+#: Chances of at most 0, 1, 2, ... darts in a cell that holds one on average.
+_POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1.0, 20.0)))))
+
+
 def darts(values: np.ndarray, weights: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(element, rank, id) of the darts with rank up to limit (for each element) inside the elements' weights."""
+    """(element, rank, id) of the darts with rank up to limit (for each element) inside the elements' weights.
+
+    A strip's ranks are cut into cells of one dart on average; a cell's hash says how many it holds and where they fall. So all
+    cells are thrown at together, as many as there are darts to expect, whether they belong to one element or to many.
+    """
     element, level = strips(values, weights)
     width = np.where(level == 0, 1.0, 2.0 ** (level - 1.0))
     low = np.where(level == 0, 0.0, width)
+    cells = np.ceil(limit[element] * width).astype(np.int64)
+    strip = np.repeat(np.arange(len(element)), cells)
+    cell = np.arange(len(strip)) - np.repeat(np.cumsum(cells) - cells, cells)
     with np.errstate(over="ignore"):
         key = C.mix(values[element] + level.astype(_U) * _U(0x9E3779B97F4A7C15))
-    rank = np.zeros(len(element))
-    out, n = [], 0
-    while len(element):
+        h = C.mix(key[strip] + (2 * cell + 1).astype(_U) * _U(0xD1B54A32D192ED03))
+    count = np.searchsorted(_POISSON, uniform(h), side="right")
+    out = []
+    for d in range(int(count.max(initial=0))):
+        on = np.flatnonzero(count > d)
+        of = strip[on]
         with np.errstate(over="ignore"):
-            h = C.mix(key + _U((2 * n + 1) * 0xD1B54A32D192ED03 % 2**64))
-        rank = rank - np.log(uniform(h)) / width
-        on = rank <= limit[element]
-        element, key, rank, width, low, h = element[on], key[on], rank[on], width[on], low[on], h[on]
-        mark = C.mix(h)
-        inside = low + width * uniform(C.mix(mark)) < weights[element]
-        out.append((element[inside], rank[inside], mark[inside]))
-        n += 1
+            mark = C.mix(h[on] + _U((d + 1) * 0x8CB92BA72F3D8DD7 % 2**64))
+        rank = (cell[on] + uniform(mark)) / width[of]
+        inside = (low[of] + width[of] * uniform(C.mix(mark)) < weights[element[of]]) & (rank <= limit[element[of]])
+        out.append((element[of[inside]], rank[inside], C.mix(mark[inside] ^ _U(0x5A5A5A5A))))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0), np.zeros(0, _U))
 
 
@@ -83,12 +103,12 @@ def signatures(values: np.ndarray, weights: np.ndarray, at: np.ndarray, k: int)
     out = np.zeros((n, k), dtype=_U)
     filled = np.zeros((n, k), dtype=bool)
     filled[size == 0] = True
-    throws = k * np.log(k) + 2 * k
+    thrown = throws(k)
     todo = np.flatnonzero(size > 0)
     while len(todo):
         mine = np.isin(owner, todo) if len(todo) < n else slice(None)
         v, w, o = values[mine], weights[mine], owner[mine]
-        element, rank, mark = darts(v, w, throws / total[o])
+        element, rank, mark = darts(v, w, thrown / total[o])
         place = o[element] * k + (C.mix(mark ^ _U(0xA5A5A5A5)) % _U(k)).astype(np.int64)
         order = np.argsort(-rank, kind="stable")  # the earliest is written last
         place, mark = place[order], mark[order]
@@ -99,7 +119,7 @@ def signatures(values: np.ndarray, weights: np.ndarray, at: np.ndarray, k: int)
         out[take] = new.reshape(n, k)[take]
         filled |= take
         todo = np.flatnonzero(~filled.all(axis=1))
-        throws *= 2
+        thrown *= 2
     return out
 
 
@@ -127,7 +147,7 @@ def _longs(values: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for b, texts in C.pieces(batches, mb=0.4):
+    for b, texts in C.pieces(batches, mb=0.4, rows=int(DARTS / throws(bands * rows))):
         runs, at = C.windows(*C.words_of([x.lower() for x in texts], _HASH), words)
         sig = signatures(*counted(runs, at), bands * rows).reshape(len(texts), bands, rows)
         band = np.zeros((len(texts), bands), dtype=_U)
@@ -142,7 +162,7 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows: int
 
 
 def _elements(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for b, texts in C.pieces(batches, mb=0.1):  # some ten thousand darts a text
+    for b, texts in C.pieces(batches, mb=0.2, rows=int(DARTS / throws(SKETCH))):
         runs, at = C.windows(*C.words_of([x.lower() for x in texts], _HASH), words)
         sketch = signatures(*counted(runs, at), SKETCH).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([*_halves([_digest(x) for x in texts]), _longs(C.occurrence_hashes(runs, at), at), pa.array([x.tobytes() for x in sketch], pa.binary())], names=["d1", "d2", "elements", "sketch"])
@@ -215,14 +235,34 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _pairs(members: DataFrame, pivots: DataFrame, similarity: float) -> DataFrame:
+def _pairs(members: DataFrame, turn: int, similarity: float) -> DataFrame:
     """(a, b, na, nb): members beside the pivots of their bucket, once each, unless they are in one component or their sizes rule out the similarity."""
-    both = members.join(pivots, "bucket").where("node <> pivot AND label <> pivot_label")
+    low = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("turn"), "node", "n", "label")).alias("p"))
+    pivots = low.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.label").alias("pivot_label"))
+    both = members.join(pivots, "bucket").where("label <> pivot_label")
     fits = both.where(F.least("n", "pivot_n") >= similarity * F.greatest("n", "pivot_n"))
     first = F.col("node") < F.col("pivot")
     return fits.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"), F.when(first, F.col("n")).otherwise(F.col("pivot_n")).alias("na"), F.when(first, F.col("pivot_n")).otherwise(F.col("n")).alias("nb")).distinct()
 
 
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members with their labels, of the buckets that still hold several components."""
+    now = members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    return C.materialize(now.join(several, "bucket", "left_semi"), "open")
+
+
+def _contracted(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, label) after more links: each link joins the components of its ends, two components once."""
+    if labels is None:
+        return components(links)
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    merged = components(ends.where("a <> b"))
+    now = labels.unionByName(merged.join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+    return C.materialize(now.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
 def _linked(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
     a = elements.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     b = elements.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
@@ -242,21 +282,20 @@ def near_rows(rows: DataFrame, similarity: float = SIMILARITY, words: int = WORD
 
     members = nodes.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-    members = C.materialize(members.join(shared, "bucket").withColumns({"turn": F.xxhash64("node", "bucket"), "label": F.col("node")}), "buckets")
+    members = C.materialize(members.join(shared, "bucket").withColumn("label", F.col("node")), "buckets")
     involved = members.select("node").distinct().join(nodes.select("node", "doc_id", *key), "node")
     texts = own.join(involved.select(F.col("doc_id").alias("__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
     found = texts.mapInArrow(lambda it: _elements(it, words), "d1 long, d2 long, elements array<long>, sketch binary")
     elements = C.materialize(found.join(involved.select("node", *key), key).select("node", "elements", "sketch").dropDuplicates(["node"]), "elements")
 
-    low = members.groupBy("bucket").agg(F.min(F.struct("turn", "node", "n")).alias("p"))
-    pivots = C.materialize(low.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.node").alias("pivot_label")), "pivots")
-    links = C.materialize(_linked(_pairs(members, pivots, similarity), elements, similarity), "near-links")
-    labels = components(links)
-    rest = members.drop("label", "turn").join(pivots.select("bucket", "pivot"), "bucket").where("node <> pivot").drop("pivot")
-    rest = C.materialize(rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "rest")
-    more = C.materialize(_linked(_rest_pairs(rest, nodes, elements, similarity), elements, similarity), "near-links")
+    labels = None
+    for turn in range(ROUNDS):
+        links = C.materialize(_linked(_pairs(members, turn, similarity), elements, similarity), "near-links")
+        labels = _contracted(labels, links)
+        members = _open(members, labels)
+    more = C.materialize(_linked(_rest_pairs(members, nodes, elements, similarity), elements, similarity), "near-links")
     if not more.isEmpty():
-        labels = components(links.union(more))
+        labels = _contracted(labels, more)
     of = nodes.select(*key, "node").join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("node"))
     return signed.select("__row", "doc_id", *key, "n").join(of, key, "left").select("__row", "doc_id", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("__row")).alias("node"))
 
