@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -21,39 +23,51 @@ _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return f"{at.rstrip('/')}/strandline-{spark.sparkContext.applicationId}"
+
+
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """The paths of the tables that materialize makes inside, in this thread."""
+    made: list[str] = []
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        yield made
+    finally:
+        _scopes.reset(token)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs only the running stage, as the table is on shared storage.
+    Cuts the lineage: a lost executor costs only the running stage, as the table is on shared storage. The application's tables
+    are in one folder, which sweep() deletes.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    for made in _scopes.get():
+        made.append(path)
     df.write.parquet(path)
-    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_made: list[str] = []
-
-
-def tables_made() -> list[str]:
-    """Paths of the tables that materialize has made in this process, in order."""
-    return list(_made)
-
-
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete working tables that no frame needs any more; for callers that have written what they made from them."""
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _made.remove(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all working tables of this application; no result that is not written elsewhere can be read afterwards."""
+    release(spark, [shared_dir(spark)])
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
@@ -62,6 +76,20 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def sheltered(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its columns that begin with two underscores renamed, as the operators' own do; and what gives them back their names."""
+    taken = {c.lower() for c in docs.columns}
+    names = {}
+    for c in docs.columns:
+        if c.startswith("__"):
+            new = f"own{c}"
+            while new.lower() in taken:
+                new = f"own_{new}"
+            taken.add(new.lower())
+            names[c] = new
+    return docs.withColumnsRenamed(names), lambda out: out.withColumnsRenamed({v: k for k, v in names.items()})
+
+
 def hash_id(col: Column) -> Column:
     """crc32 of the id written as text, null as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))

@@ -38,6 +38,8 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 SKETCH, PART, SLACK, PART_SLACK, BLOCK = 1024, 256, 5.0, 6.0, 4096
 #: Rounds of pivots, and the darts thrown at one go (some ten arrays of so many numbers are held).
 ROUNDS, DARTS = 3, 300_000
+#: Links that one task joins to components; more are joined in rounds over all tasks.
+LINKS = 200_000
 _HASH = C.RollingHash(5)
 _U = C.U64
 
@@ -94,6 +96,20 @@ def darts(values: np.ndarray, weights: np.ndarray, limit: np.ndarray) -> tuple[n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0), np.zeros(0, _U))
 
 
+def earliest(place: np.ndarray, rank: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places that occur, and the index of the least rank (0 to 1) of each, by one sort of numbers of place, rank and index.
+
+    Ranks closer than the bits that are left for them (28 for 64 thousand places and half a million darts) count as equal, and the first is taken.
+    """
+    bits_i, bits_p = max(1, len(place)).bit_length(), max(1, places).bit_length()
+    bits_r = 64 - bits_i - bits_p
+    at = np.minimum((rank * 2.0**bits_r).astype(_U), _U(2**bits_r - 1))
+    packed = np.sort((place.astype(_U) << _U(bits_r + bits_i)) | (at << _U(bits_i)) | np.arange(len(place), dtype=_U))
+    of = packed >> _U(bits_r + bits_i)
+    first = packed[np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))] if len(packed) else packed
+    return (first >> _U(bits_r + bits_i)).astype(np.int64), (first & _U(2**bits_i - 1)).astype(np.int64)
+
+
 def signatures(values: np.ndarray, weights: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """k coordinates for each set (bounds in at): the id of the earliest dart on each. Sets without elements have zeros."""
     n = len(at) - 1
@@ -110,11 +126,10 @@ def signatures(values: np.ndarray, weights: np.ndarray, at: np.ndarray, k: int)
         v, w, o = values[mine], weights[mine], owner[mine]
         element, rank, mark = darts(v, w, thrown / total[o])
         place = o[element] * k + (C.mix(mark ^ _U(0xA5A5A5A5)) % _U(k)).astype(np.int64)
-        order = np.argsort(-rank, kind="stable")  # the earliest is written last
-        place, mark = place[order], mark[order]
         new = np.zeros(n * k, dtype=_U)
         hit = np.zeros(n * k, dtype=bool)
-        new[place], hit[place] = mark, True
+        place, first = earliest(place, rank * (total[o] / thrown)[element], n * k)
+        new[place], hit[place] = mark[first], True
         take = hit.reshape(n, k) & ~filled
         out[take] = new.reshape(n, k)[take]
         filled |= take
@@ -221,9 +236,36 @@ def _rest_pairs(rest: DataFrame, nodes: DataFrame, elements: DataFrame, similari
     return dealt.groupBy("slot").applyInArrow(lambda t: _blocks(t, similarity), "a long, b long, na long, nb long")
 
 
+def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of the links and the smallest node of each one's component: roots hook to smaller ones, and paths are cut short."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        lx, ly = label[x], label[y]
+        differ = lx != ly
+        if not differ.any():
+            return nodes, nodes[label]
+        np.minimum.at(label, np.maximum(lx, ly)[differ], np.minimum(lx, ly)[differ])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in united(*(np.concatenate(x) for x in zip(*held, strict=True)))], names=["node", "label"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): for each end of a link (a, b), the smallest node of its component. Lowest neighbours and label jumps, in rounds."""
-    both = C.materialize(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
+    """(node, label): for each end of a link (a, b), the smallest node of its component.
+
+    Up to `LINKS` links are one task's; more go through rounds of lowest neighbours and label jumps.
+    """
+    links = C.materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    if links.count() <= LINKS:
+        return C.materialize(links.repartition(1).mapInArrow(_united, "node long, label long"), "labels")
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = C.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("label").alias("near"))
@@ -310,10 +352,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, words: int = W
 
 def drop_near(docs: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """docs without the near copies: of each class the row with the smallest doc_id stays, whole (the first written of repeats)."""
-    rows = C.materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    own, back = C.sheltered(docs)
+    rows = C.materialize(own.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
     of = near_rows(rows.select("__row", "doc_id", "text"), similarity, words)
     stay = of.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("stay")).select(F.col("stay.__row").alias("__row"))
-    return rows.join(stay, "__row", "left_semi").drop("__row")
+    return back(rows.join(stay, "__row", "left_semi").drop("__row"))
 
 
 def oracle(similarity: float = SIMILARITY, words: int = WORDS) -> str:
