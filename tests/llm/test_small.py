@@ -244,6 +244,28 @@ def test_random_parts_of_runs():
 # ---- 4 ----
 
 
+def mix_model(docs, block, seed):
+    """Words taken of each (doc_id, text, source), one block and one slot at a time; the draws are the operator's own."""
+    streams = defaultdict(list)
+    for i, t, source in docs:
+        streams[source] += [i] * len(WORD.findall(t or ""))
+    order = sorted({x[2] for x in docs}, key=lambda x: (x is None, x or ""))
+    target = mixing.targets({x: len(streams[x]) for x in order})
+    blocks = [-(-len(streams[x]) // block) for x in order]
+    quotas = np.array([min(3 * n, target[x] * n / len(streams[x])) if n else 0 for x, n in zip(order, blocks, strict=True)])
+    total, width, taken, at = round(quotas.sum()), max(mixing.SHARD_SLOTS, len(order)), Counter(), Counter()
+    for run in range(-(-total // (mixing.RUN * width))):
+        for row in mixing.shard_counts(quotas, mixing.run_slots(run, total, width), seed, run):
+            for s, n in enumerate(row):
+                for _ in range(n):
+                    turn, place = divmod(at[s], blocks[s])
+                    at[s] += 1
+                    if turn < 3:
+                        b = mixing.permuted(np.array([place]), blocks[s], (seed * 1_000_003 + s) * 64 + turn)[0]
+                        taken.update(streams[order[s]][b * block : (b + 1) * block])
+    return taken
+
+
 def test_mixing(spark, texts):
     assert mixing.targets({"a": 100, "b": 10, None: 90}) == {"a": 42.5, "b": 30.0, None: 127.5}
     docs = [t for t in texts[:60] for _ in range(3)] + [None, ""]
@@ -253,21 +275,46 @@ def test_mixing(spark, texts):
         assert r.taken <= 3 * r["size"] and r["size"] == len(WORD.findall(docs[r.doc_id] or ""))
         by[r.target].append(r)
     assert sum(by) == pytest.approx(sum(r["size"] for r in rows))
-    for target, own in by.items():
-        assert abs(sum(r.taken for r in own) - target) <= 32 and sum(r["size"] for r in own) == own[0].source_size
+    for target, own in by.items():  # one run of shards: off by a shard's draw, four deviations of it at most
+        assert abs(sum(r.taken for r in own) - target) <= 16 * (4 * mixing.SHARD_SLOTS**0.5 / 2 + 2) and sum(r["size"] for r in own) == own[0].source_size
     again = mixing.mix_report(frame(spark, docs).repartition(3, "n_chars"), block=16).collect()
     assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
+    model = mix_model([(i, t, ["a", "b", None][i % 3]) for i, t in enumerate(docs)], 16, mixing.SEED)
+    assert {r.doc_id: r.taken for r in rows if r.taken} == dict(model)
     written = mixing.mixed_documents(frame(spark, docs), block=16).collect()
     words = Counter()
     for r in written:
         words[r.doc_id] += len(WORD.findall(r.text))
         assert r.text in docs[r.doc_id] and r.n_chars == len(r.text)
     assert {r.doc_id: r.taken for r in rows if r.taken} == dict(words)
+    shards = mixing.mixed_shards(frame(spark, docs).selectExpr("*", "7 AS __row"), block=16).collect()
+    slots = defaultdict(int)
+    for r in shards:
+        slots[r.shard, r.slot] += len(WORD.findall(r.text))
+        assert r["__row"] == 7 and r.slot < mixing.SHARD_SLOTS
+    assert max(slots.values()) <= 16 and sum(slots.values()) == sum(words.values())
+    assert mixing.mix_report(spark.createDataFrame([], SCHEMA)).count() == 0 and mixing.mixed_shards(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_draws_decide_the_mix(spark, texts):
+    """Another seed gives other counts by source; no document is taken more than three times, whatever is drawn."""
+    docs = frame(spark, [t for t in texts[:60] for _ in range(5)])
+    sums = set()
+    for seed in (1, 2, 3):
+        rows = mixing.mix_report(docs, block=8, seed=seed).collect()
+        assert all(r.taken <= 3 * r["size"] for r in rows)
+        by = Counter()
+        for r in rows:
+            by[r.target] += r.taken
+        sums.add(tuple(sorted(by.items())))
+    assert len(sums) == 3
     for n in (1, 2, 7, 64, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 5)) == list(range(n))
-    counts = mixing.shard_counts(np.array([5, 0, 100]), 7)
-    assert counts.sum(axis=0).tolist() == [5, 0, 100] and counts.min() >= 0
-    assert mixing.mix_report(spark.createDataFrame([], SCHEMA)).count() == 0
+    counts = mixing.shard_counts(np.array([5.0, 0.0, 100.0]), np.full(70, 256))
+    assert (counts.sum(axis=1) == 256).all() and counts.min() >= 0 and not counts[:, 1].any()
+    assert abs(counts[:, 0].sum() - 70 * 256 * 5 / 105) < 4 * (256 * 5 / 105) ** 0.5
+    one = np.array([mixing.shard_counts(np.array([1.0, 3.0]), np.array([64]), seed)[0, 0] for seed in range(400)])
+    assert abs(one.mean() - 16) < 1 and 8 < one.var() < 16  # a binomial's: 12
 
 
 # ---- 5 ----
