@@ -3,73 +3,60 @@
 The mix repeats documents and may take runs of their words only, so the packing stage has a row for each piece of each such
 text, under the document's id. Documents whose text has no word (empty, or emptied by line dedup) have nothing to mix and end
 there.
+
+run() writes its result and then deletes all its other tables, so results of several runs stand beside each other. A stage that
+is called by itself deletes the working tables of the last call of the stage before it in the same session: its docs are what
+that call returned, written and read again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from strandline.llm import common, language_id, line_dedup, mixing, near_dedup, packing
-
-
-def _language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or strange to every language profile, go."""
-    return language_id.keep_known(docs)
-
-
-def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one of them; n_chars follows the text."""
-    return line_dedup.dedup_lines(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-
 
-def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
-    return near_dedup.drop_near(docs)
+from strandline.llm import common, stages
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, or runs of their words, that the mix takes, a row for each repeat."""
-    return mixing.mixed_documents(docs)
-
-
-def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece of each text in a packed sequence."""
-    return packing.pack(docs)
-
-
-_working: list[str] = []
+_STEPS: list[tuple[str, Stage]] = [
+    ("language_id", stages.language),
+    ("line_dedup", stages.lines),
+    ("near_dedup", stages.near),
+    ("mixing", stages.mix),
+    ("packing", stages.pack),
+]
 
+_working: WeakKeyDictionary[SparkSession, dict[int, list[str]]] = WeakKeyDictionary()
 
-def _staged(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage, which first deletes the working tables of the stage before it, as that one's result is written by then."""
 
+def _alone(k: int, stage: Stage) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(spark, _working)
-        before = len(common.tables_made())
-        out = stage(spark, docs, sf_dir)
-        _working[:] = common.tables_made()[before:]
+        tables = _working.setdefault(spark, {})
+        common.release(spark, tables.pop(k - 1, []))
+        with common.tables_made() as made:
+            out = stage(spark, docs, sf_dir)
+        tables[k] = made
         return out
 
+    run_stage.__doc__ = stage.__doc__
     return run_stage
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", _staged(_language)),
-    ("line_dedup", _staged(_lines)),
-    ("near_dedup", _staged(_near)),
-    ("mixing", _staged(_mix)),
-    ("packing", _staged(_pack)),
-]
+STAGES: list[tuple[str, Stage]] = [(name, _alone(k, stage)) for k, (name, stage) in enumerate(_STEPS)]
 
 #: SQL has no form for the profiles, signatures, draws and packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = common.read(spark, sf_dir, "documents"), []
+    for name, stage in _STEPS:
+        with common.tables_made() as working:
+            out = stage(spark, docs, sf_dir)
+        with common.tables_made() as written:
+            docs = common.materialize(out, f"pipeline-{name}")
+        common.release(spark, working + before)
+        before = written
+    return docs
