@@ -2,13 +2,16 @@
 
 State, all of it tables:
 
-* postings(doc_id, k1, k2, shard): one row for each document and line key it holds, the exact record;
-* refs(k1, k2, shard, n_docs, last_doc): exact reference counts, derived by aggregation with map-side sums;
-* filters(shard, blob): for each shard a cuckoo filter of the keys held by at least min_docs documents.
+* lines(doc_id, k1, k2): a row for each document and line key it holds, in segments; deletions are an anti-join over them;
+* refs(k1, k2, n_docs, last_doc): the exact reference count of every key, and the largest document that holds it;
+* filters(shard, blob): for each shard of keys a cuckoo filter of those held by at least min_docs documents.
 
 A document's lines are first held against the filter of their shard; only what passes meets the exact table, which decides.
-Inserting documents raises counts and puts keys that reach min_docs into the filter; deleting documents lowers counts and
-takes the fingerprints out again, so the lines of the documents that stay come back.
+Inserting documents counts only their own lines: these counts are joined to refs, and keys that reach min_docs enter the
+filters of their shards. Deleting documents takes their lines' counts off and the fingerprints of keys that fall below min_docs
+out again, so the lines of the documents that stay come back; only keys whose largest holder goes are looked up in the lines
+that stay. Filters of shards without such keys are carried over as they are. The number of shards doubles when the keys have
+outgrown it. compact() writes the segments and deletions as one table.
 
 Cases: null or empty text is one empty line. Null doc_ids count as one document below all others. Rows that repeat a doc_id
 are one document for the counts, and each row gets its own result. An empty table gives an empty result.
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -51,26 +54,38 @@ class CuckooFilter:
         a = (h & C.U64(self.m - 1)).astype(np.int64)
         return mark, a, a ^ (C.mix(mark.astype(C.U64)) & C.U64(self.m - 1)).astype(np.int64)
 
+    def _fill(self, mark: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Put marks into free slots of their buckets, all at once; True where there was one."""
+        order = np.argsort(at, kind="stable")
+        buckets = at[order]
+        first = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))) if len(at) else np.zeros(0, dtype=np.int64)
+        nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        taken = self.slots[buckets] != 0
+        places = np.argsort(taken, axis=1, kind="stable")  # the free ones first
+        fits = nth < 4 - taken.sum(axis=1)
+        self.slots[buckets[fits], places[np.flatnonzero(fits), nth[fits]]] = mark[order][fits]
+        out = np.zeros(len(at), dtype=bool)
+        out[order] = fits
+        return out
+
     def insert(self, k1: np.ndarray, k2: np.ndarray) -> bool:
         """False if some key found no place; the caller then builds a larger filter."""
-        for n, (mark, a, b) in enumerate(zip(*(x.tolist() for x in self._places(k1, k2)), strict=True)):
-            for at in (a, b):
+        mark, a, b = self._places(k1, k2)
+        for turn in range(2):
+            left = ~self._fill(mark, (a, b)[turn])
+            mark, a, b = mark[left], a[left], b[left]
+        for n, (own, one, other) in enumerate(zip(mark.tolist(), a.tolist(), b.tolist(), strict=True)):
+            at, mark_ = (one, other)[n & 1], own
+            for step in range(500):
                 free = np.flatnonzero(self.slots[at] == 0)
                 if len(free):
-                    self.slots[at, free[0]] = mark
+                    self.slots[at, free[0]] = mark_
                     break
+                place = (mark_ + step) & 3
+                mark_, self.slots[at, place] = int(self.slots[at, place]), mark_
+                at ^= int(C.mix(np.array([mark_], dtype=C.U64))[0]) & (self.m - 1)
             else:
-                at = (a, b)[n & 1]
-                for step in range(500):
-                    place = (mark + step) & 3
-                    mark, self.slots[at, place] = int(self.slots[at, place]), mark
-                    at ^= int(C.mix(np.array([mark], dtype=C.U64))[0]) & (self.m - 1)
-                    free = np.flatnonzero(self.slots[at] == 0)
-                    if len(free):
-                        self.slots[at, free[0]] = mark
-                        break
-                else:
-                    return False
+                return False
         return True
 
     def delete(self, k1: np.ndarray, k2: np.ndarray) -> None:
@@ -147,9 +162,20 @@ def _probe(lines: pa.Table, filters: pa.Table) -> pa.Table:
     return out.filter(pa.array(seen.contains(out.column("k1").to_numpy(), out.column("k2").to_numpy())))
 
 
+def _shard(shards: int) -> Column:
+    return F.pmod("k1", F.lit(shards)).cast("int").alias("shard")
+
+
+def _ids(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id")).distinct()
+
+
+_KEY = ["k1", "k2"]
+
+
 @dataclass
 class LineIndex:
-    """postings, refs and filters of the documents inserted so far; insert and delete give a new index."""
+    """lines, refs and filters of the documents inserted so far; insert and delete give a new index, the old one stays valid."""
 
     lines: DataFrame
     refs: DataFrame
@@ -160,62 +186,81 @@ class LineIndex:
 
     @classmethod
     def of(cls, docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> LineIndex:
-        return cls._from(C.materialize(postings(docs, min_chars), "lines"), min_chars, min_docs)
+        lines = C.materialize(postings(docs, min_chars), "lines")
+        refs = C.materialize(lines.groupBy(*_KEY).agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")), "refs")
+        return cls(lines, refs, refs, 0, min_chars, min_docs)._sharded()
 
-    @classmethod
-    def _from(cls, lines: DataFrame, min_chars: int, min_docs: int) -> LineIndex:
-        shards = max(1, math.ceil(lines.count() / GROUP_ROWS))
-        lines = lines.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
-        refs = lines.groupBy("shard", "k1", "k2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        shared = C.materialize(refs.where(F.col("n_docs") >= min_docs), "shared-lines")
-        filters = shared.groupBy("shard").applyInArrow(_filter_of, "shard int, blob binary")
-        return cls(lines, shared, C.materialize(filters, "line-filters"), shards, min_chars, min_docs)
+    def _sharded(self) -> LineIndex:
+        """With filters built anew from the counts, in as many shards as the keys need."""
+        shards = max(1, math.ceil(self.refs.count() / GROUP_ROWS))
+        return LineIndex(self.lines, self.refs, C.materialize(self._built(self._shared().select(_shard(shards), *_KEY)), "line-filters"), shards, self.min_chars, self.min_docs)
+
+    @staticmethod
+    def _built(keys: DataFrame) -> DataFrame:
+        return keys.groupBy("shard").applyInArrow(_filter_of, "shard int, blob binary")
+
+    def _shared(self) -> DataFrame:
+        return self.refs.where(F.col("n_docs") >= self.min_docs)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """The index with more documents; only keys the new documents hold can cross min_docs, and those enter the filters."""
-        new = postings(docs, self.min_chars)
-        return self._changed(C.materialize(self.lines.select("doc_id", "k1", "k2").unionByName(new), "lines"))
+        """The index with more documents, also with more rows of documents it has; their new lines alone are counted."""
+        new = C.materialize(postings(docs, self.min_chars).distinct(), "new-lines")
+        held = self.lines.join(new.select("doc_id").distinct(), "doc_id", "left_semi")
+        new = C.materialize(new.join(held, ["doc_id", *_KEY], "left_anti"), "lines")
+        more = C.materialize(new.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("more"), F.max("doc_id").alias("last")), "new-refs")
+        refs = self.refs.join(more, _KEY, "full_outer").select(*_KEY, (F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "last").alias("last_doc"))
+        return self._moved(self.lines.unionByName(new), C.materialize(refs, "refs"), more.select(*_KEY))
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """The index without these documents (column doc_id)."""
-        gone = doc_ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id")).distinct()
-        return self._changed(C.materialize(self.lines.select("doc_id", "k1", "k2").join(gone, "doc_id", "left_anti"), "lines"))
-
-    def _changed(self, lines: DataFrame) -> LineIndex:
-        """Counts anew from the exact postings; the filters are changed in place, by what crossed min_docs either way."""
-        lines = lines.withColumn("shard", F.pmod("k1", F.lit(self.shards)).cast("int"))
-        refs = lines.groupBy("shard", "k1", "k2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        shared = C.materialize(refs.where(F.col("n_docs") >= self.min_docs), "shared-lines")
-        key = ["shard", "k1", "k2"]
-        moved = shared.join(self.refs, key, "left_anti").select(*key, F.lit(True).alias("enters")).unionByName(self.refs.join(shared, key, "left_anti").select(*key, F.lit(False).alias("enters")))
-        filters = moved.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_refilter, "shard int, blob binary, full boolean")
+        gone = C.materialize(_ids(doc_ids), "gone")
+        less = self.lines.join(gone, "doc_id", "left_semi").distinct().groupBy(*_KEY).agg(F.count(F.lit(1)).alias("less"), F.max("doc_id").alias("gone_doc"))
+        less = C.materialize(less, "gone-refs")
+        stay = self.lines.join(gone, "doc_id", "left_anti")
+        headless = less.join(self.refs, _KEY).where((F.col("gone_doc") == F.col("last_doc")) & (F.col("n_docs") > F.col("less"))).select(*_KEY)
+        heads = stay.join(headless, _KEY).groupBy(*_KEY).agg(F.max("doc_id").alias("head"))
+        now = (F.col("n_docs") - F.coalesce("less", F.lit(0))).alias("n_docs")
+        refs = self.refs.join(less, _KEY, "left").join(heads, _KEY, "left").select(*_KEY, now, F.coalesce("head", "last_doc").alias("last_doc")).where("n_docs > 0")
+        return self._moved(stay, C.materialize(refs, "refs"), less.select(*_KEY))
+
+    def compact(self) -> LineIndex:
+        """The same index with its lines written as one table."""
+        return LineIndex(C.materialize(self.lines, "lines"), self.refs, self.filters, self.shards, self.min_chars, self.min_docs)
+
+    def _moved(self, lines: DataFrame, refs: DataFrame, changed: DataFrame) -> LineIndex:
+        """With new counts; of the changed keys those that crossed min_docs go into the filters of their shards, or out."""
+        new = LineIndex(lines, refs, self.filters, self.shards, self.min_chars, self.min_docs)
+        if refs.count() > 2 * GROUP_ROWS * self.shards:
+            return new._sharded()
+        mark = lambda index, name: index._shared().select(*_KEY, F.lit(True).alias(name))
+        crossed = changed.join(mark(self, "before"), _KEY, "left").join(mark(new, "after"), _KEY, "left").where(F.col("before").isNull() != F.col("after").isNull())
+        moved = C.materialize(crossed.select(_shard(self.shards), *_KEY, F.col("after").isNotNull().alias("enters")), "crossed")
+        touched = moved.select("shard").distinct()
+        filters = moved.groupBy("shard").cogroup(self.filters.join(touched, "shard", "left_semi").groupBy("shard")).applyInArrow(_refilter, "shard int, blob binary, full boolean")
         filters = C.materialize(filters, "line-filters")
         full = filters.where("full").select("shard")
-        anew = shared.join(full, "shard", "left_semi").groupBy("shard").applyInArrow(_filter_of, "shard int, blob binary")
-        return LineIndex(lines, shared, C.materialize(filters.where("NOT full").select("shard", "blob").unionByName(anew), "line-filters"), self.shards, self.min_chars, self.min_docs)
+        anew = self._built(new._shared().select(_shard(self.shards), *_KEY).join(full, "shard", "left_semi"))
+        kept = self.filters.join(touched, "shard", "left_anti")
+        new.filters = C.materialize(kept.unionByName(filters.where("NOT full").select("shard", "blob")).unionByName(anew), "line-filters")
+        return new
 
     def drops(self) -> DataFrame:
         """(doc_id, k1, k2) of the lines that go: shared, and not of the largest doc_id that holds them."""
-        sizes = {r["shard"]: r["n"] for r in self.lines.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a shard
-        parts = {k: math.ceil(n / GROUP_ROWS / 1.5) for k, n in sizes.items() if n > 1.5 * GROUP_ROWS}
-        spark = self.lines.sparkSession
-        split = spark.createDataFrame([(k, r) for k, r in parts.items()], "shard int, parts int")
+        lines = self.lines.withColumn("shard", _shard(self.shards))
+        split = C.materialize(lines.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (1.5 * GROUP_ROWS)).cast("int").alias("parts")), "line-shards")
         # a shard with a hot key is dealt to several groups, each with a copy of the shard's filter
-        lines = self.lines.join(split, "shard", "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int"))
-        filters = self.filters.join(split, "shard", "left").select("shard", "blob", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        lines = lines.join(split, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+        filters = self.filters.join(split, "shard").select("shard", "blob", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         maybe = lines.groupBy("shard", "part").cogroup(filters.groupBy("shard", "part")).applyInArrow(_probe, "doc_id long, k1 long, k2 long")
-        return maybe.join(self.refs, ["k1", "k2"]).where(F.col("doc_id") < F.col("last_doc")).select("doc_id", "k1", "k2")
+        return maybe.join(self._shared(), _KEY).where(F.col("doc_id") < F.col("last_doc")).select("doc_id", *_KEY)
 
 
 def _refilter(moved: pa.Table, old: pa.Table) -> pa.Table:
-    shard = (moved if moved.num_rows else old).column("shard")[0].as_py()
     f = CuckooFilter.load(old.column("blob")[0].as_py()) if old.num_rows else CuckooFilter(max(16, moved.num_rows))
-    full = False
-    if moved.num_rows:
-        k1, k2, enters = (moved.column(x).to_numpy(zero_copy_only=False) for x in ("k1", "k2", "enters"))
-        f.delete(k1[~enters], k2[~enters])
-        full = not f.insert(k1[enters], k2[enters])
-    return pa.table({"shard": pa.array([shard], pa.int32()), "blob": pa.array([f.dump()], pa.binary()), "full": pa.array([full])})
+    k1, k2, enters = (moved.column(x).to_numpy(zero_copy_only=False) for x in ("k1", "k2", "enters"))
+    f.delete(k1[~enters], k2[~enters])
+    full = not f.insert(k1[enters], k2[enters])
+    return pa.table({"shard": moved.column("shard").slice(0, 1), "blob": pa.array([f.dump()], pa.binary()), "full": pa.array([full])})
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch], min_chars: int, text_at: int | None, digests: bool) -> Iterator[pa.RecordBatch]:
@@ -252,13 +297,14 @@ def apply_index(docs: DataFrame, index: LineIndex, digests: bool = False) -> Dat
     digests: return doc_id, n_lines, n_dropped and kept_sha256 instead.
     """
     C.bounded_batches(docs.sparkSession)
+    docs, back = C.sheltered(docs)
     gone = index.drops().groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("k1", "k2")).alias("__gone"))
     own, min_chars = docs.select("doc_id", "text") if digests else docs, index.min_chars
     keyed = own.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))).withColumn("__text", F.col("text").cast("string")).join(gone, "__id", "left").drop("__id")
     if digests:
         return keyed.drop("text").mapInArrow(lambda it: _rebuild(it, min_chars, None, True), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
     at = docs.columns.index("text")
-    return keyed.mapInArrow(lambda it: _rebuild(it, min_chars, at, False), docs.schema)
+    return back(keyed.mapInArrow(lambda it: _rebuild(it, min_chars, at, False), docs.schema))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, digests: bool = False) -> DataFrame:
