@@ -12,6 +12,7 @@ doc_ids stay null. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import logging
 import math
 import zlib
@@ -142,51 +143,90 @@ def _without(items: tuple[int, ...], gone: tuple[int, ...]) -> tuple[int, ...]:
     return tuple(left)
 
 
+class Sums:
+    """What can leave some contents: single items, and single items or pairs, as bits by their sum."""
+
+    def __init__(self, items: tuple[int, ...]):
+        have = Counter(items)
+        self.fill, self.ones = sum(items), sorted(have)
+        self.pairs = sorted({x + y for i, x in enumerate(self.ones) for y in self.ones[i:] if x != y or have[x] > 1})
+        self.one = sum(1 << x for x in self.ones)
+        self.any = self.one | sum(1 << x for x in self.pairs if x not in have)
+
+
+def helps(a: Sums, b: Sums, size: int) -> bool:
+    """Whether some move or swap from a to b raises the sum of squares: b gains tokens, no more than it has room for, and more than a is ahead."""
+    low = max(1, a.fill - b.fill + 1)
+    wanted = (1 << max(0, size - b.fill - low + 1)) - 1
+    if not wanted:
+        return False
+    return bool(a.one >> low & wanted) or any(a.any >> y + low & wanted for y in b.ones) or any(a.one >> p + low & wanted for p in b.pairs)
+
+
 def improve(bins: Bins, moves: int | None = None) -> Bins:
     """Swap-based local search over underfull bins; stops at the least possible number of bins, or when no swap helps.
 
-    Each move raises the sum of the squares of the bins' contents, so it ends. A bound on moves, if given, is logged when met.
+    Contents are numbered as they arrive (the fullest first), and each keeps up to which number no swap with the others helps, so
+    no two contents are tried twice. Each move raises the sum of the squares of the bins' contents, so it ends. A bound on moves,
+    if given, is logged when met.
     """
     total = sum(sum(k) * n for k, n in bins.groups.items())
-    least = -(-total // bins.size)
-    stuck: set[tuple] = set()
-    whole = True
-    while bins.count() > least:
-        under = sorted((k for k in bins.groups if sum(k) < bins.size), key=lambda k: (sum(k), k))
-        found = None
-        for a in under:
-            if a in stuck:
-                continue
-            for b in reversed(under):
-                if b == a and bins.groups[a] < 2:
-                    continue
-                fa, fb = sum(a), sum(b)
-                gains = [(2 * d * (fb - fa + d), d, out, back) for d, out, back in _swaps(a, b, bins.size - fb) if fb - fa + d > 0]
-                if gains:
-                    found = a, b, max(gains)
-                    break
-            if found:
-                break
-            stuck.add(a)
-        if not found:
-            if whole:
-                break
-            stuck.clear()  # once more over all pairs, contents that came after a group was stuck among them
-            whole = True
-            continue
-        whole = False
+    least, count, size = -(-total // bins.size), bins.count(), bins.size
+    arrivals: list[tuple[int, ...]] = []
+    number: dict[tuple[int, ...], int] = {}
+    tried: dict[tuple[int, ...], int] = {}
+    sums: dict[tuple[int, ...], Sums] = {}
+    order: list[tuple[int, tuple[int, ...]]] = []
+
+    def arrive(items: tuple[int, ...]) -> None:
+        if items not in sums:
+            sums[items] = Sums(items)
+        if sums[items].fill < size:
+            number[items] = len(arrivals)
+            arrivals.append(items)
+            at = bisect.bisect_left(order, (sums[items].fill, items))
+            if at == len(order) or order[at][1] != items:
+                order.insert(at, (sums[items].fill, items))
+
+    def put(items: tuple[int, ...], n: int) -> None:
+        items = tuple(sorted(items, reverse=True))
+        had = bins.groups.get(items, 0)
+        bins.add(items, n)
+        if items and (not had or had == 1):
+            arrive(items)
+
+    def drop(items: tuple[int, ...], n: int) -> None:
+        bins.take(items, n)
+        if items not in bins.groups:
+            order.pop(bisect.bisect_left(order, (sums[items].fill, items)))
+
+    def partner(a: tuple[int, ...]) -> tuple[int, ...] | None:
+        for at in range(tried.get(a, 0), len(arrivals)):
+            b = arrivals[at]
+            if number[b] == at and bins.groups.get(b, 0) > (a == b) and helps(sums[a], sums[b], size):
+                tried[a] = at
+                return b
+        tried[a] = len(arrivals)
+        return None
+
+    for items in sorted(bins.groups, key=lambda k: (-sum(k), k)):
+        arrive(items)
+    while count > least:
+        a, b = next(((a, b) for _, a in order if tried.get(a, 0) < len(arrivals) and (b := partner(a)) is not None), (None, None))
+        if b is None:
+            break
         if moves == 0:
-            _LOG.warning("packing stopped at its bound on moves with %d sequences; %d is the least possible", bins.count(), least)
+            _LOG.warning("packing stopped at its bound on moves with %d sequences; %d is the least possible", count, least)
             break
-        a, b, (_, _, out, back) = found
+        ahead = sums[b].fill - sums[a].fill
+        _, _, out, back = max((2 * d * (ahead + d), d, out, back) for d, out, back in _swaps(a, b, size - sums[b].fill) if ahead + d > 0)
         n = bins.groups[a] // 2 if a == b else min(bins.groups[a], bins.groups[b])
-        bins.take(a, n)
-        bins.take(b, n)
-        before = len(bins.groups)
-        bins.add(_without(a, out) + back, n)
-        bins.add(_without(b, back) + out, n)
-        if len(bins.groups) != before:
-            stuck.clear()  # new contents may take what did not fit before
+        drop(a, n)
+        drop(b, n)
+        rest = _without(a, out) + back
+        count -= 0 if rest else n
+        put(rest, n)
+        put(_without(b, back) + out, n)
         moves = None if moves is None else moves - 1
     return bins
 
