@@ -1,16 +1,19 @@
 """Operator 10: document fingerprints, a Merkle tree over the pieces, paragraphs and sections of a text.
 
-Leaves are pieces of a paragraph (sentences; long ones are cut every `PIECE_WORDS` words, or `PIECE_CHARS` characters).
-A paragraph (a line) hashes its pieces; a section hashes its paragraphs and ends where a paragraph's hash says so (about
-every eighth), so an edit moves no later section's bounds. The root hashes the sections: equal roots mean equal texts.
+Leaves are pieces of a paragraph (sentences; long ones are cut every `PIECE_WORDS` words, or `PIECE_CHARS` characters), which
+together are the paragraph. A paragraph (a line) hashes its pieces' hashes, a section its paragraphs'; a section ends where a
+paragraph's hash says so (about every eighth), so an edit moves no later section's bounds. The root hashes the sections' hashes.
+All hashes are 16 bytes long and begin with the node's level, so equal roots mean equal texts, as every character is in a leaf.
 
-A fingerprint is `root;section;section...`, a section `hash/paragraph/paragraph...`, a paragraph `hash:piece:piece...`; a
-paragraph of one piece names the piece only. Comparing two fingerprints walks down only where hashes differ, which locates
-edits; the likeness is the share of leaves found in both, 2 c / (a + b), from 0 to 1.
+A fingerprint is `root;section;section...`, a section `hash/paragraph/paragraph...`, a paragraph `hash:piece:piece...`; the root
+is told in full, the hashes below it by their first 8 bytes. A paragraph of one piece is that piece. Comparing two fingerprints
+walks down only where hashes differ, which locates edits; the likeness is the share of leaves found in both, 2 c / (a + b),
+from 0 to 1.
 
-The edited text of a document takes its tail from the next document by descending doc_id (null last, repeated ids by text).
-Documents are dealt to ranges of ids, and the first document of each range goes to the range before it as well, so each task
-streams its own documents with one of look-ahead, in one shuffle of the texts.
+The edited text of a document takes its tail from the next document by descending doc_id (null last; repeated ids by a hash of the text, then the text).
+Documents are dealt to ranges of (id, hash of the text), so that many rows of one id, or without one, are spread as well. The
+first document of each range goes to the range before it too, so each task streams its own documents with one of look-ahead, in
+one shuffle of the texts.
 
 Cases: null or empty text has a tree without leaves; two such are alike (1), one such and another are not (0). A lone document
 is its own next one. Repeated rows follow each other. An empty table gives an empty result.
@@ -37,42 +40,43 @@ _SENTENCE = re.compile(r"(?<=[.!?…。！？])\s+")
 _LOWEST = -(2**63)
 
 
-def _hash(data: bytes, size: int = 5) -> str:
-    return hashlib.blake2b(data, digest_size=size).hexdigest()
+def _hash(level: bytes, data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16, person=level).digest()
 
 
 def pieces_of(paragraph: str) -> list[str]:
-    """Sentences, the long ones cut; joined with single spaces they need not give the paragraph, the paragraph's hash covers it whole."""
-    out = []
-    for sentence in _SENTENCE.split(paragraph):
+    """Sentences with the white space after them, the long ones cut; joined they are the paragraph."""
+    if len(paragraph) <= 24:
+        return [paragraph]
+    out, at = [], 0
+    for end in [*(m.end() for m in _SENTENCE.finditer(paragraph)), len(paragraph)]:
+        sentence, at = paragraph[at:end], end
         if len(sentence) <= 6 * PIECE_WORDS:
             out.append(sentence)
             continue
         words = sentence.split(" ")
         for i in range(0, len(words), PIECE_WORDS):
-            part = " ".join(words[i : i + PIECE_WORDS])
-            out += [part[k : k + PIECE_CHARS] for k in range(0, len(part), PIECE_CHARS)] or [""]
-    return out
+            part = " ".join(words[i : i + PIECE_WORDS]) + " " * (i + PIECE_WORDS < len(words))
+            out += [part[k : k + PIECE_CHARS] for k in range(0, len(part), PIECE_CHARS)]
+    return [x for x in out if x]
 
 
 def fingerprint(text: str) -> str:
-    """The root covers the whole text; the sections, paragraphs and pieces below it are hashes of 40 bits."""
+    """The tree of a text: each node's hash is made of its children's whole hashes alone."""
     sections, section = [], []
     if text:
         for line in text.split("\n"):
-            own = _hash(line.encode("utf-8", "surrogatepass"))
-            parts = [_hash(p.encode("utf-8", "surrogatepass")) for p in pieces_of(line)] if len(line) > 24 else []
-            section.append(":".join((own, *parts)) if len(parts) > 1 else own)
-            if int(own[:6], 16) % SECTION == 0:
+            leaves = [_hash(b"piece", p.encode("utf-8", "surrogatepass")) for p in pieces_of(line)]
+            own = _hash(b"paragraph", b"".join(leaves)) if len(leaves) > 1 else leaves[0]
+            section.append((own, leaves))
+            if int.from_bytes(own[-3:], "big") % SECTION == 0:
                 sections.append(section)
                 section = []
         if section:
             sections.append(section)
-    told = ["/".join((_hash("".join(p[:10] for p in s).encode()), *s)) for s in sections]
-    root = hashlib.blake2b(str(len(text)).encode(), digest_size=16)
-    root.update(text.encode("utf-8", "surrogatepass"))
-    root.update("".join(x[:10] for x in told).encode())
-    return ";".join((root.hexdigest(), *told))
+    heads = [_hash(b"section", b"".join(own for own, _ in s)) for s in sections]
+    told = ["/".join((head[:8].hex(), *(":".join((own[:8].hex(), *(x[:8].hex() for x in leaves))) if len(leaves) > 1 else own[:8].hex() for own, leaves in s))) for head, s in zip(heads, sections, strict=True)]
+    return ";".join((_hash(b"root", b"".join(heads)).hex(), *told))
 
 
 def tree(print_: str) -> tuple[str, list[tuple[str, list[tuple[str, list[str]]]]]]:
@@ -151,13 +155,21 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-def _range_of(bounds: list[int]):
-    """A function from ids to the index of their range: (bounds[k - 1], bounds[k]]."""
-    limits = np.array(bounds, dtype=np.int64)
+def range_index(bounds: list[tuple[int, int]], ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The index of the range (bounds[k - 1], bounds[k]] of each (id, hash); bounds are sorted."""
+    limits = np.array(bounds, dtype=np.int64).reshape(-1, 2)
+    low, high = (np.searchsorted(limits[:, 0], ids, side=x) for x in ("left", "right"))
+    out = low.copy()
+    for k in np.unique(low[low < high]):  # ids that are a bound: by the hashes of the bounds with that id
+        own = (low == k) & (low < high)
+        out[own] = k + np.searchsorted(limits[k : high[own][0], 1], hashes[own], side="left")
+    return out.astype(np.int32)
+
 
+def _range_of(bounds: list[tuple[int, int]]):
     @F.pandas_udf("int")
-    def of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(limits, ids.to_numpy(), side="left").astype(np.int32))
+    def of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(range_index(bounds, ids.to_numpy(), hashes.to_numpy()))
 
     return of
 
@@ -169,18 +181,21 @@ def compare_with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFram
     """
     spark = docs.sparkSession
     C.bounded_batches(spark)
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("__id"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns({"__id": F.coalesce("doc_id", F.lit(_LOWEST)), "__h": F.xxhash64("text")})
+    key = F.struct("__id", "__h")
     n = own.count()
     parts = max(1, min(n // range_rows, MAX_RANGES))
-    ranked = own.select("__id").repartitionByRange(parts, "__id").groupBy(F.spark_partition_id().alias("p")).agg(F.max("__id").alias("top"))
-    bounds = sorted(r["top"] for r in ranked.collect())[:-1]  # a row a range
-    dealt = own.withColumn("__range", _range_of(bounds)("__id"))
-    heads = {r["__range"]: r["top"] for r in dealt.groupBy("__range").agg(F.max("__id").alias("top")).collect()}  # a row a range
+    ranked = own.select("__id", "__h").repartitionByRange(parts, "__id", "__h").groupBy(F.spark_partition_id().alias("p")).agg(F.max(key).alias("top"))
+    bounds = sorted(tuple(r["top"]) for r in ranked.collect())[:-1]  # a row a range
+    dealt = own.withColumn("__range", _range_of(bounds)("__id", "__h"))
+    heads = {r["__range"]: tuple(r["top"]) for r in dealt.groupBy("__range").agg(F.max(key).alias("top")).collect()}  # a row a range
     if not heads:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     order = sorted(heads)
-    to = [(heads[k], order[i + 1] if i + 1 < len(order) else order[0]) for i, k in enumerate(order)]
-    ahead = spark.createDataFrame(to, "__id long, __to int")
-    both = dealt.withColumn("__ahead", F.lit(False)).unionByName(dealt.drop("__range").join(F.broadcast(ahead), "__id").select("doc_id", "text", "__id", F.col("__to").alias("__range"), F.lit(True).alias("__ahead")))
-    rows = both.repartition(len(order), "__range").sortWithinPartitions("__range", "__ahead", F.desc("__id"), F.asc_nulls_first("text"))
+    to = [(*heads[k], order[i + 1] if i + 1 < len(order) else order[0]) for i, k in enumerate(order)]
+    ahead = spark.createDataFrame(to, "__id long, __h long, __to int")
+    # one copy of each head is enough; equal rows of a head are the same text
+    next_ = dealt.drop("__range").join(F.broadcast(ahead), ["__id", "__h"]).groupBy("__id", "__h", "__to").agg(F.max(F.struct("doc_id", "text")).alias("x")).select("x.doc_id", "x.text", "__id", "__h", F.col("__to").alias("__range"), F.lit(True).alias("__ahead"))
+    both = dealt.withColumn("__ahead", F.lit(False)).unionByName(next_)
+    rows = both.repartition(len(order), "__range").sortWithinPartitions("__range", "__ahead", F.desc("__id"), F.desc("__h"), F.asc_nulls_first("text"))
     return rows.select("__range", "doc_id", "text", "__ahead").mapInArrow(_streamed, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
