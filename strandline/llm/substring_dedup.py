@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MIN_WORDS, GAP = 20, 6
-_HASH = C.RollingHash(7)
+_HASH, _SECOND = C.RollingHash(7), C.RollingHash(77)
 _STOPS = np.isin(np.arange(256), np.frombuffer(b".!?", dtype=np.uint8))
 _MULTIPLIERS = (0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB4B)
 
@@ -48,9 +48,11 @@ def least_of_windows(values: np.ndarray, k: int) -> np.ndarray:
 
 def sentences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first word of each sentence and the end, byte start of each sentence in its text, text of each sentence, word hashes)."""
-    low = [x.lower() for x in texts]
-    buf, at = C.joined(low)
-    starts, ends = C.word_bounds(buf)
+    buf, at = C.joined([x.lower() for x in texts])
+    return _cut(buf, at, *C.word_bounds(buf))
+
+
+def _cut(buf: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     hashes = _HASH.ranges(_HASH.sums(buf), starts, ends)
     # a sentence ends at a stop, or where a newline comes before the next word
     lines = np.concatenate(([0], np.cumsum(buf == 10)))
@@ -79,7 +81,9 @@ def _run_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray, multiplie
 
 def spans(texts: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, first sentence within the text, sentences, two hashes) of the span that starts at each sentence, where the text has the words for it."""
-    first, _, text, words = sentences(texts)
+    buf, at = C.joined([x.lower() for x in texts])
+    starts, ends = C.word_bounds(buf)
+    first, _, text, words = _cut(buf, at, starts, ends)
     if not len(text):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none, none
@@ -89,7 +93,8 @@ def spans(texts: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray, n
     fits[fits] = text[last[fits]] == text[fits]
     i, last = np.flatnonzero(fits), last[fits]
     nth = i - np.searchsorted(text, text[i])
-    return text[i], nth, last - i + 1, *(_run_hashes(words, begin[i], end[last], m).view(np.int64) for m in _MULTIPLIERS)
+    both = words, _SECOND.ranges(_SECOND.sums(buf), starts, ends)  # two hashes of each word, so that the two of a run are independent
+    return text[i], nth, last - i + 1, *(_run_hashes(w, begin[i], end[last], m).view(np.int64) for w, m in zip(both, _MULTIPLIERS, strict=True))
 
 
 def _key() -> Column:
@@ -104,15 +109,18 @@ def _spans(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(__key, i, n): the non-first occurrences of spans that occur more than once anywhere."""
+    """(__id, __key, i, n): the non-first occurrences of spans that occur more than once anywhere; __id is the doc_id.
+
+    The hashes that repeat are written first, so that both joins are between plain shuffles, which Spark splits where a span is hot.
+    """
     C.bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("__key", _key())
     found = own.mapInArrow(lambda it: _spans(it, min_words), "doc_id long, __key long, i int, n int, h1 long, h2 long")  # made twice, which spares its table on disk
-    more = found.groupBy("h1").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h1")
+    more = C.materialize(found.groupBy("h1").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h1"), "repeated-hashes")
     shared = C.materialize(found.join(more, "h1"), "shared-spans")
     order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "__key", "i")
-    first = shared.groupBy("h1", "h2").agg(F.min(order).alias("first"))
-    return shared.join(first, ["h1", "h2"]).where(F.col("first") < order).select("__key", "i", "n")
+    first = C.materialize(shared.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "first-spans")
+    return shared.join(first, ["h1", "h2"]).where(F.col("first") < order).select(F.col("doc_id").alias("__id"), "__key", "i", "n")
 
 
 def _rebuilt(batches: Iterator[pa.RecordBatch], report: bool, at: int) -> Iterator[pa.RecordBatch]:
@@ -153,10 +161,11 @@ def drop_spans(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False
 
     report: doc_id, n_sentences, n_removed, n_removed_words, removed (sentence ranges `start-end`), kept_sha256 and the text that stays.
     """
-    gone = repeated_spans(docs, min_words).groupBy(F.col("__key").alias("__k")).agg(F.collect_set(F.struct("i", "n")).alias("__gone"))
+    docs, back = C.sheltered(docs)
+    spans_ = repeated_spans(docs, min_words).groupBy(F.col("__id").alias("__i"), F.col("__key").alias("__k")).agg(F.collect_set(F.struct("i", "n")).alias("__gone"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) if report else docs
-    keyed = own.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    keyed = own.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__key", F.xxhash64("__id", F.col("text").cast("string")))
     at = own.columns.index("text")
-    joined = keyed.join(gone, keyed["__key"] == gone["__k"], "left").drop("__k")
+    joined = keyed.join(spans_, (keyed["__key"] == spans_["__k"]) & keyed["__id"].eqNullSafe(spans_["__i"]), "left").drop("__k", "__i", "__id")
     schema = "doc_id long, n_sentences long, n_removed long, n_removed_words long, removed string, kept_sha256 string, text string" if report else docs.schema
-    return joined.mapInArrow(lambda it: _rebuilt(it, report, at), schema)
+    return back(joined.mapInArrow(lambda it: _rebuilt(it, report, at), schema))
