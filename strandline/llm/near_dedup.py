@@ -5,15 +5,15 @@ often they occur; a text of one to four words has one run. Each element owns str
 hash throws darts into a strip as a Poisson process over rank. Darts inside the element's weight count, each falls on one of
 the signature's coordinates, and the earliest stays. Two sets agree at a coordinate with their weighted Jaccard similarity.
 
-Exact copies fold to one node first. Nodes that share a band meet in a bucket. In a few rounds, each bucket holds one pivot
-against its members by the exact weighted Jaccard similarity: a comparison a member, whatever the group's size. A round's pivots
-are least by one order of all nodes, so a group of copies meets the same pivot in most of its bands and each pair is tested once.
-After each round the links are contracted: only one link for two components goes on, and only buckets that still hold several
-components. What is left after the rounds is compared in blocks of bounded size: a bucket's rows outside its largest component
-against all its rows, by sketches of 1024 coordinates, each pair in the first band it shares only. Pairs whose sketches agree in
-no fewer places than five standard deviations below the similarity's mean (0.74 for 0.8; six for the first 256 coordinates,
-compared before) are verified exactly. No partner is capped and no group meets in one task. Classes are the components of the
-verified links.
+Exact copies fold to one node first. Nodes that share a band meet in a bucket. Each bucket holds one pivot against its members by
+the exact weighted Jaccard similarity: a comparison a member, whatever the group's size. Pivots are least by one order of all
+nodes, so a group of copies meets the same pivot in most of its bands and each pair is tested once. The links are contracted:
+only one link for two components goes on, and only buckets that still hold several components. These are compared in blocks of
+bounded size, a bucket's rows outside its largest component against all its rows, by sketches of 1024 coordinates. In `ROUNDS`
+rounds each row's best partner in another component is verified exactly and the links are contracted again; in the last round
+all pairs of different components are verified, each in the first band it shares only, whose sketches agree in no fewer places
+than five standard deviations below the similarity's mean (0.74 for 0.8; six for the first 256 coordinates, compared before). No
+partner is capped and no group meets in one task. Classes are the components of the verified links.
 
 Cases: null and empty texts, and texts of white space alone, are each a class of their own. Null doc_ids take part like others;
 a class's id is the smallest doc_id in it, null if all are null. Repeated rows are copies. An empty table gives an empty result.
@@ -36,8 +36,8 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 #: Coordinates of a sketch and of the part compared first, the standard deviations that their estimates may fall short by, and the rows of a block.
 #: At exactly 0.8, the whole sketch loses a link with a chance of 5.1e-7, the part with one of 5.3e-9.
 SKETCH, PART, SLACK, PART_SLACK, BLOCK = 1024, 256, 5.0, 6.0, 4096
-#: Rounds of pivots, and the darts thrown at one go (some ten arrays of so many numbers are held).
-ROUNDS, DARTS = 3, 300_000
+#: Rounds of best partners before all partners, and the darts thrown at one go (some ten arrays of so many numbers are held).
+ROUNDS, DARTS = 1, 300_000
 #: Links that one task joins to components; more are joined in rounds over all tasks.
 LINKS = 200_000
 _HASH = C.RollingHash(5)
@@ -188,8 +188,8 @@ def _least(k: int, similarity: float) -> int:
     return int(k * similarity - (SLACK if k == SKETCH else PART_SLACK) * (k * similarity * (1 - similarity)) ** 0.5)
 
 
-def _near_in_block(ask: pd.DataFrame, all_: pd.DataFrame, similarity: float) -> list[tuple[np.ndarray, ...]]:
-    """Pairs of rows of one bucket, in different components, whose sketches agree often enough; only in the first band they share."""
+def _near_in_block(ask: pd.DataFrame, all_: pd.DataFrame, similarity: float, best: bool) -> list[tuple[np.ndarray, ...]]:
+    """Pairs of rows of one bucket, in different components, whose sketches agree often enough, in the first band they share only; best: of each asking row the one that agrees most."""
     a, b = (np.stack([np.frombuffer(x, dtype=np.uint8) for x in t["sketch"]]) for t in (ask, all_))
     bands_a, bands_b = (np.stack(t["bands"].to_list()) for t in (ask, all_))
     node_a, node_b, label_a, label_b, n_a, n_b = (t[x].to_numpy() for x in ("node", "label", "n") for t in (ask, all_))
@@ -202,6 +202,8 @@ def _near_in_block(ask: pd.DataFrame, all_: pd.DataFrame, similarity: float) ->
         for width in (PART, SKETCH):
             at = at[(b[at, :width] == a[k, :width]).sum(axis=1) >= _least(width, similarity)]
         at = at[~(bands_b[at, :band] == bands_a[k, :band]).any(axis=1)] if band else at
+        if best and len(at) > 1:
+            at = at[[(b[at] == a[k]).sum(axis=1).argmax()]]
         if len(at):
             x, y, nx, ny = np.full(len(at), node_a[k]), node_b[at], np.full(len(at), n_a[k]), n_b[at]
             swap = x > y
@@ -209,18 +211,18 @@ def _near_in_block(ask: pd.DataFrame, all_: pd.DataFrame, similarity: float) ->
     return out
 
 
-def _blocks(group: pa.Table, similarity: float) -> pa.Table:
+def _blocks(group: pa.Table, similarity: float, best: bool) -> pa.Table:
     rows = group.to_pandas()
     out = []
     for _, part in rows.groupby(["bucket", "i", "j"], sort=False):
         ask, all_ = part[part["asks"]], part[~part["asks"]]
         if len(ask) and len(all_):
-            out += _near_in_block(ask, all_, similarity)
+            out += _near_in_block(ask, all_, similarity, best)
     cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64)] * 4
     return pa.table({k: pa.array(c.astype(np.int64)) for k, c in zip(("a", "b", "na", "nb"), cols, strict=True)})
 
 
-def _rest_pairs(rest: DataFrame, nodes: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
+def _rest_pairs(rest: DataFrame, nodes: DataFrame, elements: DataFrame, similarity: float, best: bool) -> DataFrame:
     """Candidate pairs among the rows (bucket, band, node, n, label) that buckets still hold in several components."""
     by = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("m"))
     main = by.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("x"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
@@ -233,7 +235,7 @@ def _rest_pairs(rest: DataFrame, nodes: DataFrame, elements: DataFrame, similari
     both = C.materialize(ask.unionByName(all_), "blocks")
     slots = max(1, both.count() // BLOCK)
     dealt = both.withColumn("slot", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(slots)))
-    return dealt.groupBy("slot").applyInArrow(lambda t: _blocks(t, similarity), "a long, b long, na long, nb long")
+    return dealt.groupBy("slot").applyInArrow(lambda t: _blocks(t, similarity, best), "a long, b long, na long, nb long").distinct()
 
 
 def united(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,9 +279,9 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _pairs(members: DataFrame, turn: int, similarity: float) -> DataFrame:
+def _pairs(members: DataFrame, similarity: float) -> DataFrame:
     """(a, b, na, nb): members beside the pivots of their bucket, once each, unless they are in one component or their sizes rule out the similarity."""
-    low = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("turn"), "node", "n", "label")).alias("p"))
+    low = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("turn"), "node", "n", "label")).alias("p"))
     pivots = low.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.label").alias("pivot_label"))
     both = members.join(pivots, "bucket").where("label <> pivot_label")
     fits = both.where(F.least("n", "pivot_n") >= similarity * F.greatest("n", "pivot_n"))
@@ -330,14 +332,12 @@ def near_rows(rows: DataFrame, similarity: float = SIMILARITY, words: int = WORD
     found = texts.mapInArrow(lambda it: _elements(it, words), "d1 long, d2 long, elements array<long>, sketch binary")
     elements = C.materialize(found.join(involved.select("node", *key), key).select("node", "elements", "sketch").dropDuplicates(["node"]), "elements")
 
-    labels = None
-    for turn in range(ROUNDS):
-        links = C.materialize(_linked(_pairs(members, turn, similarity), elements, similarity), "near-links")
-        labels = _contracted(labels, links)
+    labels = _contracted(None, C.materialize(_linked(_pairs(members, similarity), elements, similarity), "near-links"))
+    for best in [True] * ROUNDS + [False]:
         members = _open(members, labels)
-    more = C.materialize(_linked(_rest_pairs(members, nodes, elements, similarity), elements, similarity), "near-links")
-    if not more.isEmpty():
-        labels = _contracted(labels, more)
+        more = C.materialize(_linked(_rest_pairs(members, nodes, elements, similarity, best), elements, similarity), "near-links")
+        if not more.isEmpty():
+            labels = _contracted(labels, more)
     of = nodes.select(*key, "node").join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("node"))
     return signed.select("__row", "doc_id", *key, "n").join(of, key, "left").select("__row", "doc_id", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("__row")).alias("node"))
 
