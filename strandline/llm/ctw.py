@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 DEPTH, FOLDS, HELD = 6, 7, 2
-PACKET_MB, CHUNK_MB = 40.0, 2.0
+PACKET_MB, CHUNK_MB = 40.0, 0.8
 #: Megabytes of text for each group of byte runs (all contexts that end in the same two bytes are in one), and the keys merged at one go.
-GROUP_MB, MAX_GROUPS, MERGE = 6.0, 65_536, 2_000_000
+GROUP_MB, MAX_GROUPS, MERGE = 6.0, 65_536, 600_000
 #: Word keys are negative, byte runs' keys are not; the end mark has the least key.
 _END_KEY = -(2**63)
 _UNIT = 2.0**36
