@@ -1,6 +1,7 @@
 """Each text operator against brute force, and on nulls, empties, repeats, empty tables and extra columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -492,14 +493,58 @@ def test_risk_controlled_cutoffs(spark):
     found = spark.range(4000).selectExpr("id AS doc_id", "IF(id % 2 = 0, 'en', NULL) AS stratum", "100L AS n_words", "500L AS word_chars", "IF(id % 10 = 0, 60L, 1L) AS n_symbols", "0L AS n_dup_lines", "9L AS n_lines", "0L AS n_repeat_words", "0L AS n_capitals")
     labels = found.selectExpr("doc_id", "IF(n_symbols > 9, 0, 1) AS quality", "0 AS toxic")
     limits = {r["name"]: r.asDict() for r in quality.cutoffs(found, labels).collect()}
-    assert limits["en"]["symbols_a_word"] == limits[""]["symbols_a_word"] == 0.02
+    assert limits["en"]["symbols_a_word"] == 0.3 and limits["en"]["capitals"] is None  # the laxest cutoff that rejects all bad labels
+    assert all(limits[""][rule] is None for rule in quality.RULES)  # no bad labels: nothing to gain
     few = quality.cutoffs(found, labels.where("doc_id < 300")).collect()
-    assert not few or all(r["symbols_a_word"] is None for r in few)
+    assert not few
+
+
+def risk_model(rows, alpha, delta):
+    """rows: (stratum, scores by rule, good). The configuration of each stratum, all of them tried, by Holm's procedure."""
+    configs = list(itertools.product(*([None, *c[::-1]] for c in quality.RULES.values())))
+    found = []
+    for stratum in {r[0] for r in rows}:
+        good, bad = ([s for t, s, g in rows if t == stratum and g == want] for want in (True, False))
+        for at, c in enumerate(configs):
+            out = lambda s, c=c: any(x is not None and v > x for v, x in zip(s, c, strict=True))
+            n, k = len(good), sum(map(out, good))
+            if n:
+                p = 1.0 if k >= n * alpha else sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1))
+                found.append((p, stratum, k / n - (sum(map(out, bad)) / len(bad) if bad else k / n), sum(quality.RULES[r][::-1].index(x) + 1 for r, x in zip(quality.RULES, c, strict=True) if x is not None), at))
+    chosen = {}
+    for i, (p, stratum, loss, strict, at) in enumerate(sorted(found, key=lambda x: x[0])):
+        if p > delta / (len(found) - i):
+            break
+        chosen[stratum] = min(chosen.get(stratum, (9, 0, 0)), (round(loss, 12), strict, at))
+    return {s: (loss, strict, configs[at]) for s, (loss, strict, at) in chosen.items()}
+
+
+def test_configurations_equal_those_of_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "RULES", dict(list(quality.RULES.items())[:3]))
+    monkeypatch.setattr(quality, "CONFIGURATIONS", 64)
+    rng = random.Random(8)
+    rows, docs = [], []
+    for i in range(1200):
+        stratum, good = rng.choice(["en", "en", "de", None, "xx"] if i < 900 else ["en", "de"]), rng.random() < 0.8
+        score = (rng.choice([0, 0, 0, 2, 15, 40, 120] if not good else [0, 0, 0, 0, 0, 0, 0, 0, 0, 2, 4]) / 100, rng.choice([4, 8, 8, 20, 60]) / 100 if not good else rng.choice([2, 2, 5, 9, 9, 16]) / 100, rng.choice([0, 0, 4, 6]) / 10 if not good else 0.0)
+        rows.append((stratum, score, good))
+        docs.append((i, stratum, 100, 500, round(score[0] * 100), round(score[2] * 10), 10, 0, round(score[1] * 500), int(good)))
+    found = spark.createDataFrame(docs, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, n_capitals long, quality int")
+    want = risk_model([(s, (round(x[0] * 100) / 100, round(x[1] * 500) / 500, round(x[2] * 10) / 10), g) for s, x, g in rows], 0.05, 0.05)
+    got = {(None if r.none else r.name): r for r in quality.cutoffs(found.drop("quality"), found.select("doc_id", "quality")).collect()}
+    assert set(got) == set(want) and {"en", "de"} <= set(got)
+    for stratum, (loss, strict, config) in want.items():
+        own = tuple(got[stratum][rule] for rule in quality.RULES)
+        assert sum(list(c[::-1]).index(x) + 1 for x, c in zip(own, quality.RULES.values(), strict=True) if x is not None) == strict, (stratum, loss, own, config)
+    assert any(x is not None for x in want["en"][2])
 
 
 def test_quality_is_native(spark, texts):
-    plan = quality.features(frame(spark, texts))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan(quality.features(frame(spark, texts))))
+    labels = spark.range(9).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert not re.search("Python|Pandas|Arrow", plan(quality.judge(frame(spark, texts), labels)))
+    assert not re.search("Python|Pandas|Arrow", plan(quality.cutoffs(quality.features(frame(spark, texts)), labels)))
 
 
 # ---- 9 ----
