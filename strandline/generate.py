@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .functions import dna
 
 
+# The published generators' period, tags, repeat units, their length and distance.
+
+
 def read_pairs(spark: SparkSession, pairs: int, read_length: int = 150, prefix: str = "SEQ") -> DataFrame:
     """Pair k: base j is ACGT[(k + j) mod 4], the second read its reverse complement, all qualities I."""
     if read_length <= 0:

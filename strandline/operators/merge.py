@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from ..functions import dna
 from ..params import MergeParams
 from . import merge_kernel
 
+# The columns of a pair and of the outputs.
 READS = ("tag1", "seq1", "qual1", "tag2", "seq2", "qual2")
 
 
@@ -62,3 +63,31 @@ def outputs(annotated: DataFrame) -> Outputs:
 
     left = annotated.where(~F.col("is_combined"))
     return Outputs(annotated.where("is_combined").select(*reads("combined_tag", "combined_seq", "combined_qual")), left.select(*reads("tag1", "seq1", "qual1")), left.select(*reads("tag2", "seq2", "qual2")))
+
+
+def observed(annotated: DataFrame, name: str = "merge") -> tuple[DataFrame, Observation]:
+    """annotated, and counters of its pairs that are read with the first action: pairs, merged, unmerged, null, merged_bases."""
+    counters = Observation(name)
+    flag = F.col("is_combined")
+    counts = [F.count(F.lit(1)).alias("pairs"), F.count_if(flag).alias("merged"), F.count_if(~flag).alias("unmerged"), F.count_if(flag.isNull()).alias("null"), F.coalesce(F.sum(F.length("combined_seq")), F.lit(0)).alias("merged_bases")]
+    return annotated.observe(counters, *counts), counters
+
+
+class Merged(NamedTuple):
+    """What becomes of one pair: merged or not, and the merged read."""
+
+    is_combined: bool
+    tag: str | None = None
+    seq: str | None = None
+    qual: str | None = None
+
+
+def merge_pair(read1: tuple[str, str, str], read2: tuple[str, str, str], params: MergeParams | None = None) -> Merged:
+    """One pair of (tag, letters, qualities); a ValueError if lengths differ or a quality is below the offset."""
+    found = merge_kernel.merge_one(read1[1], read1[2], read2[1], read2[2], params)
+    return Merged(True, merged_tag(read1[0]), *found) if found else Merged(False)
+
+
+def merged_tag(tag: str) -> str:
+    head, slash, tail = tag.rpartition("/")
+    return tag if not slash else head + (tail[1:] if tail[1:2] == "#" else "")

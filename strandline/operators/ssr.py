@@ -129,3 +129,13 @@ def overlap_filter(matches: DataFrame) -> DataFrame:
 
     order = Window.partitionBy("idx", "canonical").orderBy("start", F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
     return matches.withColumn("__reach", F.coalesce(F.max("end").over(order), F.lit(0))).where(F.col("end") > F.col("__reach")).drop("__reach")
+
+
+def distinct_matches(matches: DataFrame) -> DataFrame:
+    """One match of each sequence, place, motif, class and strand."""
+    return matches.dropDuplicates(["idx", "start", "end", "motif", "canonical", "strand"])
+
+
+def ordered(matches: DataFrame) -> DataFrame:
+    """In the order of the sequences, their places, and the longest first."""
+    return matches.orderBy("idx", "start", F.desc("length"), "canonical")

@@ -283,5 +283,169 @@ def merge_files(spark, sf_dir):
     return done.select("idx", "is_combined", "combined_tag", "combined_seq", "combined_qual")
 
 
+_THREE = """SELECT 'extendedFrags' AS file, row_number() OVER (ORDER BY k) - 1 AS idx, tag, seq, qual FROM r WHERE ok
+UNION ALL SELECT 'notCombined_1', row_number() OVER (ORDER BY k) - 1, t, seq1, qual1 FROM r WHERE NOT ok
+UNION ALL SELECT 'notCombined_2', row_number() OVER (ORDER BY k) - 1, t, seq2, qual2 FROM r WHERE NOT ok"""
+
+
+def _pair_files(spark, sf_dir) -> tuple[str, list[str]]:
+    from ..sources import sinks
+
+    made, folder = inputs.pairs(spark, sf_dir), _folder(spark)
+    return folder, [str(sinks.write_fastq(made.selectExpr("idx", f"tag{n} AS tag", f"seq{n} AS seq", f"qual{n} AS qual"), f"{folder}/r{n}.fastq")) for n in (1, 2)]
+
+
+@query(merge_oracle(MergeParams(), _THREE))
+def merge_three_files(spark, sf_dir):
+    """The file job's three outputs, read back."""
+    from ..sources import fastq
+
+    folder, paths = _pair_files(spark, sf_dir)
+    out = session.MergeJob(spark, *paths, output_dir=f"{folder}/out").run()
+    parts = [fastq.read_fastq(spark, str(p)).withColumn("file", F.lit(p.name.split(".")[1])) for p in out]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("file", "idx", "tag", "seq", "qual")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY k) - 1 AS idx, {inputs.TAG} AS tag, seq1 AS seq, qual1 AS qual FROM ({_PAIRS})")
+def fastq_lenient_gzip(spark, sf_dir):
+    """Lower-case reads as gzip, read leniently."""
+    import gzip
+    import shutil
+
+    from ..sources import fastq, sinks
+
+    reads = inputs.pairs(spark, sf_dir).selectExpr("idx", "tag1 AS tag", "lower(seq1) AS seq", "qual1 AS qual")
+    path = sinks.write_fastq(reads, f"{_folder(spark)}/reads.fastq")
+    with path.open("rb") as plain, gzip.open(f"{path}.gz", "wb") as out:
+        shutil.copyfileobj(plain, out)
+    return fastq.read_fastq(spark, f"{path}.gz", mode="lenient")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY n, k) - 1 AS idx, seq FROM (SELECT 1 AS n, k, seq1 AS seq FROM ({_PAIRS}) UNION ALL SELECT 2, k, seq2 FROM ({_PAIRS}))")
+def fastq_several_files(spark, sf_dir):
+    """Two files read as one table, their ordinals running on."""
+    from ..sources import fastq
+
+    return fastq.read_fastq(spark, _pair_files(spark, sf_dir)[1], block=1 << 15).select("idx", "seq")
+
+
+@query(f"SELECT k AS idx, CAST(pos AS INT) AS pos, tag, seq, qual FROM (SELECT k, 0 AS pos, {inputs.TAG} AS tag, seq1 AS seq, qual1 AS qual FROM ({_PAIRS}) UNION ALL SELECT k, 1, {inputs.TAG}, seq2, qual2 FROM ({_PAIRS}))")
+def fastq_text_column(spark, sf_dir):
+    """FASTQ text in a column, two records a row."""
+    from ..sources import fastq, sinks
+
+    texts = inputs.pairs(spark, sf_dir).select("idx", F.concat_ws("\n", sinks.fastq_line("tag1", "seq1", "qual1"), sinks.fastq_line("tag2", "seq2", "qual2")).alias("text"))
+    return fastq.parse_column(texts)
+
+
+@query(merge_oracle(MergeParams(), "SELECT k AS idx, ok, CASE WHEN ok THEN tag END AS tag, seq, qual FROM r"))
+def merge_sql_struct(spark, sf_dir):
+    """The struct-valued SQL function: one run of the kernel for all four."""
+    session.register_functions(spark)
+    return spark.sql("SELECT idx, m.is_combined AS ok, m.tag AS tag, m.seq AS seq, m.qual AS qual FROM (SELECT idx, flash_merge(tag1, seq1, qual1, tag2, seq2, qual2) AS m FROM {pairs})", pairs=inputs.pairs(spark, sf_dir))
+
+
+@query(merge_oracle(MergeParams(), "SELECT count(*) AS pairs, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS merged, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS unmerged, CAST(0 AS BIGINT) AS nulls, CAST(sum(length(seq)) AS BIGINT) AS merged_bases FROM r"))
+def merge_counters(spark, sf_dir):
+    """The counters that ride on a merge, read after it."""
+    done, counters = merge.observed(annotated(spark, sf_dir, MergeParams()), "merge-counters")
+    done.write.format("noop").mode("overwrite").save()
+    got = counters.get
+    return spark.createDataFrame([(got["pairs"], got["merged"], got["unmerged"], got["null"], got["merged_bases"])], "pairs long, merged long, unmerged long, nulls long, merged_bases long")
+
+
+@query(ssr_oracle(_MATCH, "canonical IN ('AC', 'AAT')"))
+def ssr_custom_motifs(spark, sf_dir):
+    return ssr.find_ssrs(inputs.seqs(spark, sf_dir), SsrParams(motifs=("ca", "ATA")))
+
+
+@query(ssr_oracle(_MATCH))
+def ssr_distinct(spark, sf_dir):
+    """Matches found twice count once."""
+    found = ssr.find_ssrs(inputs.seqs(spark, sf_dir))
+    return ssr.ordered(ssr.distinct_matches(found.unionByName(found)))
+
+
+@query(ssr_oracle(_MATCH.replace("seq_name, ", "")))
+def ssr_sql_table_function(spark, sf_dir):
+    session.register_functions(spark)
+    return spark.sql("SELECT idx, t.start, t.`end`, t.canonical, t.length, t.strand, t.num_units, t.motif FROM {seqs}, LATERAL flash_ssr(seq) t", seqs=inputs.seqs(spark, sf_dir))
+
+
+@query(ssr_oracle("SELECT * FROM kept").replace("\nSELECT * FROM kept\n", "SELECT canonical AS class, strand, motif_len, count(*) AS instances, count(DISTINCT idx) AS reads, CAST(sum(length) AS BIGINT) AS covered_bases FROM kept GROUP BY canonical, strand, motif_len"))
+def ssr_class_stats_file(spark, sf_dir):
+    """The class statistics written as TSV and read back."""
+    from ..sources import sinks, tabular
+
+    seqs = inputs.seqs(spark, sf_dir)
+    totals = ssr.read_totals(seqs)
+    path = sinks.write_class_stats(ssr.class_stats(ssr.find_ssrs(seqs), totals), totals, f"{_folder(spark)}/stats.tsv")
+    back = tabular.read_csv(spark, str(path), schema="class string, strand string, motif_len int, instances long, reads long, covered_bases long, a double, b double", sep="\t", comment="#")
+    return back.drop("a", "b")
+
+
+def _overlapping(spark, sf_dir):
+    """Each match, one a base in, and one that reaches a base further."""
+    found = ssr.find_ssrs(inputs.seqs(spark, sf_dir))
+    moved = lambda a, b: found.withColumns({"start": F.col("start") + a, "end": F.col("end") + b, "length": F.col("length") + b - a})
+    return found.unionByName(moved(1, 0)).unionByName(moved(2, 1))
+
+
+_MOVED = 'SELECT idx, seq_name, start + a AS start, "end" + b AS "end", canonical, length + b - a AS length, strand, num_units, motif FROM kept, (VALUES (0, 0), (1, 0), (2, 1)) AS v(a, b)'
+
+
+@query(ssr_oracle(f'SELECT * FROM ({_MOVED}) QUALIFY "end" > coalesce(max("end") OVER (PARTITION BY idx, canonical ORDER BY start, length DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)'))
+def ssr_overlaps_dropped(spark, sf_dir):
+    return ssr.overlap_filter(_overlapping(spark, sf_dir))
+
+
+@query("SELECT c_mktsegment, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 1")
+def csv_and_json_files(spark, sf_dir):
+    """A table written as CSV and as JSON, half each, and read back."""
+    from ..sources import tabular
+
+    t, folder = inputs.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), _folder(spark)
+    t.where("c_custkey % 2 = 0").write.csv(f"{folder}/a", header=True)
+    t.where("c_custkey % 2 = 1").write.json(f"{folder}/b")
+    both = tabular.read_csv(spark, f"{folder}/a").unionByName(tabular.read_json(spark, f"{folder}/b"))
+    return both.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
+
+
+@query("SELECT * FROM (VALUES ('a', '1', 0), ('b', NULL, 0)) AS v(name, value, empty_rows)")
+def views_of_values(spark, sf_dir):
+    """A view of values beside an empty one, and dropping both."""
+    session.values_view(spark, "some_values", ["name", "value"], [("a", 1), ("b", None)])
+    session.values_view(spark, "no_values", ["name", "value"], [])
+    out = spark.sql("SELECT name, value, CAST((SELECT count(*) FROM no_values) AS INT) AS empty_rows FROM some_values")
+    session.drop_view(spark, "some_values"), session.drop_view(spark, "no_values")
+    return out
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def view_of_parquet(spark, sf_dir):
+    session.parquet_view(spark, "outer_orders", f"{sf_dir}/orders.parquet")
+    return spark.sql("SELECT o_orderstatus, count(*) AS n FROM outer_orders GROUP BY o_orderstatus")
+
+
+@query()
+def explained(spark, sf_dir):
+    session.parquet_view(spark, "outer_orders", f"{sf_dir}/orders.parquet")
+    return session.explain(spark, "SELECT min(o_totalprice), max(o_totalprice) FROM outer_orders")
+
+
+@query("SELECT * FROM (VALUES (1000.0, 0.5, 0.1, true, 0.2, false), (2000.0, 1.0, NULL, false, 0.3, true)) AS v(size, input_mb, a_wall, a_best, b_wall, b_best)")
+def benchmark_results(spark, sf_dir):
+    """Benchmark documents as a table by size and program, with the fastest marked."""
+    import json
+
+    from ..sources import tabular
+
+    runs = [(1000, 0.5, "a", 0.1), (1000, 0.5, "b", 0.2), (2000, 1.0, "b", 0.3)]
+    doc = {"programs": ["a", "b"], "results": [{"records": n, "input_mb": mb, "program": p, "wall_s": s} for n, mb, p, s in runs]}
+    path = f"{_folder(spark)}/results"
+    spark.createDataFrame([(json.dumps(doc),)], "value string").write.text(path)
+    return tabular.pivot_results(tabular.read_results(spark, path), ["a", "b"]).select("size", "input_mb", "a_wall", "a_best", "b_wall", "b_best")
+
+
 QUERIES |= relational.QUERIES
 ORACLES |= relational.ORACLES

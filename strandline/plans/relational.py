@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import asof, compare
 from .inputs import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,10 +22,10 @@ def query(sql: str):
     return add
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_discount, 2) AS saved FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1996-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * l_discount AS saved FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1996-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
 def sql_scan_filter(spark, d):
     t = table(spark, d, "lineitem").where("l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '1996-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
-    return t.select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * F.col("l_discount"), 2).alias("saved"))
+    return t.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * F.col("l_discount")).alias("saved"))  # not rounded: engines differ at ties
 
 
 @query("SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
@@ -53,9 +54,9 @@ def sql_semi_join(spark, d):
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)")
 def sql_anti_join(spark, d):
-    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 450000")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
 
 
@@ -169,3 +170,73 @@ def sql_time_buckets(spark, d):
 @query("SELECT * FROM (PIVOT (SELECT o_orderpriority, o_orderstatus FROM orders) ON o_orderstatus IN ('F', 'O', 'P') USING count(*) GROUP BY o_orderpriority)")
 def sql_pivot(spark, d):
     return table(spark, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+@query("SELECT n_name, coalesce(c.n, 0) AS rich FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) c RIGHT JOIN nation ON c.k = n_nationkey")
+def sql_right_join(spark, d):
+    c = table(spark, d, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    n = table(spark, d, "nation")
+    return c.join(n, c.k == n.n_nationkey, "right").select("n_name", F.coalesce("n", F.lit(0)).alias("rich"))
+
+
+@query("SELECT r_name, s.status, (SELECT count(*) FROM orders WHERE o_orderstatus = s.status) AS orders FROM region CROSS JOIN (VALUES ('F'), ('O'), ('P')) AS s(status)")
+def sql_cross_join(spark, d):
+    """Two dimension tables of a few rows each."""
+    status = spark.createDataFrame([("F",), ("O",), ("P",)], "status string")
+    n = table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"))
+    every = table(spark, d, "region").crossJoin(status)
+    return every.join(n, every.status == n.o_orderstatus, "left").select("r_name", "status", F.coalesce("orders", F.lit(0)).alias("orders"))
+
+
+@query("SELECT a.event_id, b.event_id AS last_id, b.value AS last_value FROM (SELECT * FROM events WHERE event_id % 3 = 0) a ASOF LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS n FROM events WHERE event_id % 3 = 1) WHERE n = 1) b ON a.user_id = b.user_id AND a.ts >= b.ts")
+def sql_asof_join(spark, d):
+    e = table(spark, d, "events")
+    right = e.where("event_id % 3 = 1").select("user_id", "ts", F.col("event_id").alias("last_id"), F.col("value").alias("last_value"))
+    return asof.asof_join(e.where("event_id % 3 = 0").select("event_id", "user_id", "ts"), right, "ts", ["user_id"], tie="last_id").select("event_id", "last_id", "last_value")
+
+
+@query("SELECT o_orderpriority, true AS is_near FROM orders GROUP BY o_orderpriority")
+def sql_approximate_distinct(spark, d):
+    """Whether the sketch is within 15 % of the exact count (the engines' sketches differ)."""
+    t = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.approx_count_distinct("o_custkey", 0.02).alias("a"), F.count_distinct("o_custkey").alias("n"))
+    return t.select("o_orderpriority", (F.abs(F.col("a") - F.col("n")) <= 0.15 * F.col("n")).alias("is_near"))
+
+
+@query("SELECT o_orderkey, CAST(ntile(4) OVER w AS BIGINT) AS quarter, first_value(o_orderkey) OVER w AS first_key, CAST(count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS week FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)")
+def sql_window_frames(spark, d):
+    w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey")
+    t = table(spark, d, "orders")
+    week = F.expr("count(1) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW)")
+    return t.select("o_orderkey", F.ntile(4).over(w).cast("long").alias("quarter"), F.first_value("o_orderkey").over(w).alias("first_key"), week.alias("week"))
+
+
+_OWN_MAX = "SELECT c_custkey, (SELECT max(o_totalprice) FROM {orders} o WHERE o.o_custkey = c.c_custkey) AS largest FROM {customer} c WHERE c_acctbal > (SELECT avg(c_acctbal) FROM {customer} x WHERE x.c_nationkey = c.c_nationkey)"
+
+
+@query(_OWN_MAX.replace("{orders}", "orders").replace("{customer}", "customer"))
+def sql_correlated_subquery(spark, d):
+    return spark.sql(_OWN_MAX, orders=table(spark, d, "orders"), customer=table(spark, d, "customer"))
+
+
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, max(sha256(CAST(event_id AS VARCHAR))) AS top FROM events GROUP BY 1, 2")
+def sql_json_and_digests(spark, d):
+    """JSON parsed to a struct and written back, and SHA-256."""
+    t = table(spark, d, "events").withColumn("p", F.from_json(F.to_json(F.from_json("props", "k long")), "k long"))
+    return t.groupBy("event_type", F.col("p.k").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max(F.sha2(F.col("event_id").cast("string"), 256)).alias("top"))
+
+
+@query("SELECT count(*) AS changed FROM customer WHERE c_custkey % 50 = 0")
+def multiset_comparison(spark, d):
+    """A table against a copy with other names for every fiftieth customer: two digests differ for each."""
+    t = table(spark, d, "customer").select("c_custkey", "c_name")
+    other = t.withColumn("c_name", F.when(F.col("c_custkey") % 50 == 0, F.concat("c_name", F.lit("?"))).otherwise(F.col("c_name")))
+    return compare.multiset_difference(t, other, t.columns).agg((F.count(F.lit(1)) / 2).cast("long").alias("changed"))
+
+
+@query("SELECT o_orderkey, p AS place, b AS before FROM (SELECT o_orderkey, p, lag(p) OVER (ORDER BY a) AS b FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS p, o_orderkey + CASE WHEN o_orderkey % 100 = 7 THEN 50 ELSE 0 END + CASE WHEN o_orderkey % 100 = 7 THEN 0.5 ELSE 0 END AS a FROM orders)) WHERE b > p")
+def output_order(spark, d):
+    """Orders with some moved down by fifty places, against their first order."""
+    t = table(spark, d, "orders").select("o_orderkey")
+    source = t.withColumn("idx", F.row_number().over(Window.orderBy("o_orderkey")).cast("long"))  # a small table of the check
+    moved = t.withColumn("idx", F.col("o_orderkey") + F.when(F.col("o_orderkey") % 100 == 7, 50.5).otherwise(0.0))
+    return compare.out_of_order(moved, source, "o_orderkey")

@@ -17,8 +17,39 @@ from ..sources import fasta, fastq, registered, sinks
 VIEWS = ("flash_combined", "flash_not_combined_left", "flash_not_combined_right")
 
 
+class Repeats:
+    """The repeats of one sequence, for SQL: SELECT t.* FROM reads, LATERAL flash_ssr(seq) t."""
+
+    def eval(self, seq: str):
+        if seq is not None:
+            p = SsrParams()
+            for _, start, end, label, length, strand, units, motif in sorted(ssr.runs([seq.upper().encode()], p), key=lambda r: (r[1], -r[4], r[3])):
+                yield start, end, label, length, strand, units, motif
+
+
+def values_view(spark: SparkSession, name: str, columns: list[str], rows: list[tuple]) -> None:
+    """A temporary view of rows of texts, as from VALUES; without rows an empty view with the same columns."""
+    spark.createDataFrame([tuple(None if x is None else str(x) for x in r) for r in rows], ", ".join(f"`{c}` string" for c in columns)).createOrReplaceTempView(name)
+
+
+def parquet_view(spark: SparkSession, name: str, path: str) -> None:
+    """A temporary view over Parquet files elsewhere; filters and columns reach the scan."""
+    spark.read.parquet(path).createOrReplaceTempView(name)
+
+
+def drop_view(spark: SparkSession, name: str) -> bool:
+    """Whether there was such a view."""
+    return spark.catalog.dropTempView(name)
+
+
+def explain(spark: SparkSession, sql: str, mode: str = "FORMATTED") -> DataFrame:
+    """The plan of a query as a table of one text."""
+    return spark.sql(f"EXPLAIN {mode} {sql}")
+
+
 def register_functions(spark: SparkSession, params: MergeParams | None = None) -> None:
-    """flash_is_combined, flash_combined_tag, flash_combined_seq and flash_combined_qual over (tag1, seq1, qual1, tag2, seq2, qual2).
+    """flash_merge over (tag1, seq1, qual1, tag2, seq2, qual2), a struct of is_combined, tag, seq and qual by one run of the kernel,
+    and its fields alone: flash_is_combined, flash_combined_tag, flash_combined_seq and flash_combined_qual. Also flash_ssr(seq), a table.
 
     Vectorised; a null argument gives null, a malformed pair fails the query. Register again to change the parameters.
     """
@@ -29,10 +60,6 @@ def register_functions(spark: SparkSession, params: MergeParams | None = None) -
         own = [pa.array([None if z else x for x, z in zip(r, null, strict=True)], pa.string()) for r in (reads[1], reads[2], reads[4], reads[5])]
         return merge_kernel.merge_batch(*own, p)
 
-    def tagged(tag: str) -> str:
-        head, slash, tail = tag.rpartition("/")
-        return tag if not slash else head + (tail[1:] if tail[1:2] == "#" else "")
-
     @F.pandas_udf("boolean")
     def is_combined(tag1: pd.Series, seq1: pd.Series, qual1: pd.Series, tag2: pd.Series, seq2: pd.Series, qual2: pd.Series) -> pd.Series:
         return pd.Series(merged(tag1, seq1, qual1, tag2, seq2, qual2)[0].to_pylist(), dtype=object)
@@ -43,10 +70,17 @@ def register_functions(spark: SparkSession, params: MergeParams | None = None) -
             found = merged(tag1, seq1, qual1, tag2, seq2, qual2)
             if which:
                 return pd.Series(found[which].to_pylist(), dtype=object)
-            return pd.Series([tagged(t) if ok else None for t, ok in zip(tag1, found[0].to_pylist(), strict=True)], dtype=object)
+            return pd.Series([merge.merged_tag(t) if ok else None for t, ok in zip(tag1, found[0].to_pylist(), strict=True)], dtype=object)
 
         return column
 
+    @F.pandas_udf("is_combined boolean, tag string, seq string, qual string")
+    def whole(tag1: pd.Series, seq1: pd.Series, qual1: pd.Series, tag2: pd.Series, seq2: pd.Series, qual2: pd.Series) -> pd.DataFrame:
+        ok, seq, qual = (x.to_pylist() for x in merged(tag1, seq1, qual1, tag2, seq2, qual2))
+        return pd.DataFrame({"is_combined": pd.Series(ok, dtype=object), "tag": [merge.merged_tag(t) if z else None for t, z in zip(tag1, ok, strict=True)], "seq": seq, "qual": qual})
+
+    spark.udf.register("flash_merge", whole)
+    spark.udtf.register("flash_ssr", F.udtf(Repeats, returnType="start long, `end` long, canonical string, length long, strand string, num_units long, motif string"))
     spark.udf.register("flash_is_combined", is_combined)
     for i, name in enumerate(("tag", "seq", "qual")):
         spark.udf.register(f"flash_combined_{name}", text(i))
@@ -101,7 +135,7 @@ def merge_text(spark: SparkSession, text1: str, text2: str, params: MergeParams
     try:
         one, two = fastq.parse_text(text1, p.phred_offset), fastq.parse_text(text2, p.phred_offset)
         if len(one) != len(two):
-            raise fastq.FastqError("FASTQ inputs have different number of records")
+            raise fastq.FastqError(fastq.UNEQUAL)
         rows = [(i, *a, *b) for i, (a, b) in enumerate(zip(one, two, strict=True))]
         done = merge.annotate(spark.createDataFrame(rows, fastq.PAIR_SCHEMA), p)
         parts = ["".join(f"{r['tag']}\n{r['seq']}\n+\n{r['qual']}\n" for r in df.orderBy("idx").collect()) for df in merge.outputs(done)]

@@ -31,13 +31,18 @@ def records(block: files.Block) -> Iterator[tuple[int, str, str]]:
         yield idx - 1, name, b"".join(parts).upper().decode("latin-1")
 
 
-def read_fasta(spark: SparkSession, path: str, block: int = files.BLOCK) -> DataFrame:
-    """idx, name and seq; lines before the first header are ignored. A task reads one block, and a record that crosses its end."""
-    found = files.index(spark, path, block, headers=True)
+def read_fasta(spark: SparkSession, path: str | list[str], block: int = files.BLOCK) -> DataFrame:
+    """idx, name and seq of one or several files; lines before a file's first header are ignored. A task reads one block, and a record that crosses its end."""
+    blocks, bases, base = [], [], 0
+    for one in [path] if isinstance(path, str) else path:
+        found = files.index(spark, one, block, headers=True)
+        blocks += found.blocks
+        bases += [base] * len(found.blocks)
+        base += found.marks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                yield from fastq._batches(records(files.Block(row["path"], row["start"], row["finish"], row["before"], row["gz"])), ARROW)
+                yield from fastq._batches(((i + row["base"], *r) for i, *r in records(fastq._block(row))), ARROW)
 
-    return fastq._blocks_frame(spark, found.blocks).mapInArrow(run, SCHEMA)
+    return fastq._blocks_frame(spark, blocks, bases).mapInArrow(run, SCHEMA)

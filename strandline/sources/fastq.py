@@ -7,12 +7,15 @@ quality character, so record starts are found by counting.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..params import MergeParams
 from . import files
@@ -23,6 +26,10 @@ _CANON = bytes(c if c in b"ACGT" else c - 32 if c in b"acgt" else ord("N") for c
 _BATCH = 4096
 
 
+#: What is said of two files that are no pair.
+UNEQUAL = "the files of a pair hold different numbers of reads"
+
+
 class FastqError(ValueError):
     pass
 
@@ -79,29 +86,130 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
 
 READ_ARROW = pa.schema([("idx", pa.int64()), *((n, pa.string()) for n in ("tag", "seq", "qual"))])
 PAIR_ARROW = pa.schema([("idx", pa.int64()), *((n, pa.string()) for n in ("tag1", "seq1", "qual1", "tag2", "seq2", "qual2"))])
+_CANON_BYTES = np.frombuffer(_CANON, dtype=np.uint8)
+
 
+def _fields(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges of a buffer as strings: of an array of the ranges and the gaps between them every other one."""
+    offsets = np.empty(2 * len(starts), dtype=np.int32)
+    offsets[::2], offsets[1::2] = starts, ends
+    whole = pa.StringArray.from_buffers(max(0, len(offsets) - 1), pa.py_buffer(offsets), pa.py_buffer(buf))
+    return whole.take(pa.array(np.arange(0, len(offsets), 2)))
 
-def _blocks_frame(spark: SparkSession, blocks: list[files.Block]) -> DataFrame:
-    rows = [(i, b.path, b.start, b.end, b.before, b.gz) for i, b in enumerate(blocks)]
-    return spark.createDataFrame(rows, "i long, path string, start long, finish long, before long, gz boolean").repartitionByRange(max(1, len(rows)), "i")
 
+def _arrays(block: files.Block, offset: int, first: int | None = None, count: int | None = None) -> tuple[int, list[pa.Array]] | None:
+    """(ordinal of the first, tags, letters and qualities) of the strict records that begin in a plain block, or of `count` from `first` on.
 
-def read_fastq(spark: SparkSession, path: str, mode: str = "strict", offset: int = 33, block: int = files.BLOCK) -> DataFrame:
-    """idx, tag, seq, qual of a FASTQ file, plain or gzip; a task reads one block."""
-    found = files.index(spark, path, block)
+    Lines are found by one search for newlines, and the strings are cut from the buffer. None if anything is not plain ASCII or
+    not a valid record: then the records are read one by one, which says what is wrong.
+    """
+    with files.opened(block.path) as f:
+        f.seek(max(0, block.start - 1))
+        aligned = block.start == 0 or f.read(1) == b"\n"
+        f.seek(block.start)
+        data = [f.read(block.end - block.start if first is None else min(block.end - block.start, files.BLOCK))]
+        number = 0 if block.start == 0 else block.before + (not aligned)
+        lines = data[0].count(b"\n") - (not aligned)
+        if first is None:
+            begun = lines + (not data[0].endswith(b"\n")) if data[0] else 0  # lines that begin in the block
+            skip = -number % 4
+            count = max(0, -(-(begun - skip) // 4))
+        else:
+            skip = 4 * first - number
+        while lines < skip + 4 * count and (more := f.read(1 << 20)):
+            data.append(more)
+            lines += more.count(b"\n")
+    if not count:
+        return (number + skip) // 4, [pa.array([], pa.string())] * 3
+    text = b"".join(data)
+    buf = np.frombuffer(text if text.endswith(b"\n") else text + b"\n", dtype=np.uint8)
+    at = np.flatnonzero(buf == 10)
+    starts, ends = (np.concatenate(([0], at[:-1] + 1)), at) if aligned else (at[:-1] + 1, at[1:])
+    starts, ends = (x[skip : skip + 4 * count] for x in (starts, ends))
+    if len(ends) < 4 * count or len(buf) >= 2**31 or (buf >= 128).any():
+        return None
+    ends = ends - ((ends > starts) & (buf[ends - 1] == 13))
+    (t, s, p, q), (t2, s2, p2, q2) = ([x[k::4] for k in range(4)] for x in (starts, ends))
+    low = np.concatenate(([0], np.cumsum(buf < offset)))
+    valid = (buf[t] == 64) & (t2 > t) & (buf[p] == 43) & (p2 > p) & (s2 - s == q2 - q) & (low[q2] == low[q])
+    if not valid.all() or ((ends > starts) & (buf[ends - 1] == 13)).any():
+        return None
+    return (number + skip) // 4, [_fields(buf, t, t2), _fields(_CANON_BYTES[buf], s, s2), _fields(buf, q, q2)]
+
+
+def _sliced(columns: list[pa.Array], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), _BATCH):
+        yield pa.RecordBatch.from_arrays([c.slice(at, _BATCH) for c in columns], schema=schema)
+
+
+def strict_batches(block: files.Block, offset: int, base: int = 0) -> Iterator[pa.RecordBatch]:
+    found = None if block.gz else _arrays(block, offset)
+    if found is None:
+        return _batches(((r[0] + base, *r[1:]) for r in records(block, "strict", offset)), READ_ARROW)
+    idx, columns = found
+    return _sliced([pa.array(np.arange(idx + base, idx + base + len(columns[0]))), *columns], READ_ARROW)
+
+
+def paired_batches(block: files.Block, mate: files.Block, offset: int) -> Iterator[pa.RecordBatch]:
+    """The records of a block beside those of the same ordinals that the other file has from `mate` on."""
+    own = None if block.gz or mate.gz else _arrays(block, offset)
+    if own is not None:
+        idx, columns = own
+        other = _arrays(mate, offset, idx, len(columns[0]))
+        if other is not None:
+            return _sliced([pa.array(np.arange(idx, idx + len(columns[0]))), *columns, *other[1]], PAIR_ARROW)
+
+    def joined() -> Iterator[tuple]:
+        other = None
+        for r in records(block, "strict", offset):
+            other = other or _from_record(mate, r[0], offset)
+            found = next(other, None)
+            if found is None or found[0] != r[0]:
+                raise FastqError(UNEQUAL)
+            yield (*r, *found[1:])
+
+    return _batches(joined(), PAIR_ARROW)
+
+
+_BLOCK = "path string, start long, finish long, before long, gz boolean"
+
+
+def _block(row: dict, prefix: str = "") -> files.Block:
+    return files.Block(*(row[prefix + c] for c in ("path", "start", "finish", "before", "gz")))
+
+
+def _blocks_frame(spark: SparkSession, blocks: list[files.Block], bases: list[int] | None = None) -> DataFrame:
+    rows = [(i, b.path, b.start, b.end, b.before, b.gz, base) for i, (b, base) in enumerate(zip(blocks, bases or [0] * len(blocks), strict=True))]
+    return spark.createDataFrame(rows, f"i long, {_BLOCK}, base long").repartitionByRange(max(1, len(rows)), "i")
+
+
+def read_fastq(spark: SparkSession, path: str | list[str], mode: str = "strict", offset: int = 33, block: int = files.BLOCK) -> DataFrame:
+    """idx, tag, seq, qual of one or several FASTQ files, plain or gzip; a task reads one block. idx goes on from file to file."""
+    blocks, bases, base = [], [], 0
+    for one in [path] if isinstance(path, str) else path:
+        found = files.index(spark, one, block)
+        blocks += found.blocks
+        bases += [base] * len(found.blocks)
+        base += -(-found.lines // 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                yield from _batches(records(files.Block(row["path"], row["start"], row["finish"], row["before"], row["gz"]), mode, offset), READ_ARROW)
+                if mode == "strict":
+                    yield from strict_batches(_block(row), offset, row["base"])
+                else:
+                    yield from _batches(((r[0] + row["base"], *r[1:]) for r in records(_block(row), mode, offset)), READ_ARROW)
 
-    return _blocks_frame(spark, found.blocks).mapInArrow(run, READ_SCHEMA)
+    return _blocks_frame(spark, blocks, bases).mapInArrow(run, READ_SCHEMA)
 
 
-def _at_record(blocks: list[files.Block], idx: int) -> files.Block:
-    """The last block that begins at or before a record's first line."""
-    line = 4 * idx
-    return max((b for b in blocks if b.before + (b.start > 0) <= line), key=lambda b: b.start)
+def mates(one: files.Index, two: files.Index) -> list[files.Block]:
+    """For each block of a file the block of the other that its first record begins in, or one before it; both lists are in order."""
+    if -(-one.lines // 4) != -(-two.lines // 4):
+        raise FastqError(UNEQUAL)
+    begins = [b.before + (b.start > 0) for b in two.blocks]
+    firsts = [-(-b.before // 4) for b in one.blocks]  # a block may begin at a line's start
+    return [two.blocks[max(0, bisect_right(begins, 4 * i) - 1)] for i in firsts]
 
 
 def _from_record(block: files.Block, idx: int, offset: int) -> Iterator[tuple[int, str, str, str]]:
@@ -116,28 +224,16 @@ def read_pairs(spark: SparkSession, forward: str, reverse: str, offset: int = 33
     """
     MergeParams(phred_offset=offset)
     one, two = files.index(spark, forward, block), files.index(spark, reverse, block)
-    if -(-one.lines // 4) != -(-two.lines // 4):
-        raise FastqError("FASTQ inputs have different number of records")
-    first = [-(-(b.before + (b.start > 0)) // 4) for b in one.blocks]
-    mates = {b.start: _at_record(two.blocks, i) for b, i in zip(one.blocks, first, strict=True)}
+    rows = [(i, *x) for i, x in enumerate((a.path, a.start, a.end, a.before, a.gz, b.path, b.start, b.end, b.before, b.gz) for a, b in zip(one.blocks, mates(one, two), strict=True))]
+    other = ", ".join(f"m_{c}" for c in _BLOCK.split(", "))
+    frame = spark.createDataFrame(rows, f"i long, {_BLOCK}, {other}").repartitionByRange(max(1, len(rows)), "i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                own = records(files.Block(row["path"], row["start"], row["finish"], row["before"], row["gz"]), "strict", offset)
+                yield from paired_batches(_block(row), _block(row, "m_"), offset)
 
-                def joined(own=own, row=row) -> Iterator[tuple]:
-                    other = None
-                    for r in own:
-                        other = other or _from_record(mates[row["start"]], r[0], offset)
-                        mate = next(other, None)
-                        if mate is None or mate[0] != r[0]:
-                            raise FastqError("FASTQ inputs have different number of records")
-                        yield (*r, *mate[1:])
-
-                yield from _batches(joined(), PAIR_ARROW)
-
-    return _blocks_frame(spark, one.blocks).mapInArrow(run, PAIR_SCHEMA)
+    return frame.mapInArrow(run, PAIR_SCHEMA)
 
 
 def parse_text(text: str | None, offset: int = 33) -> list[tuple[str, str, str]]:
@@ -153,5 +249,15 @@ def parse_text(text: str | None, offset: int = 33) -> list[tuple[str, str, str]]
 def parse_column(df: DataFrame, column: str = "text", offset: int = 33) -> DataFrame:
     """A row (pos, tag, seq, qual) for each record of FASTQ text in a column, beside the other columns."""
     rest = [c for c in df.columns if c != column]
-    parse = F.udf(lambda t: [(i, *r) for i, r in enumerate(parse_text(t, offset))], "array<struct<pos: int, tag: string, seq: string, qual: string>>")
-    return df.select(*rest, F.explode(parse(F.col(column))).alias("r")).select(*rest, "r.*")
+    own = df.select(*rest, F.col(column).cast("string").alias(column))
+    schema = T.StructType([*own.drop(column).schema.fields, *(T.StructField(n, T.IntegerType() if n == "pos" else T.StringType()) for n in ("pos", "tag", "seq", "qual"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, i, *r) for k, t in enumerate(b.column(len(rest)).to_pylist()) for i, r in enumerate(parse_text(t, offset))]
+            at, *cols = list(zip(*rows, strict=True)) or [()] * 5
+            take = pa.array(at, pa.int64())
+            new = [pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.string()] * 3), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(rest))), *new], names=[*rest, "pos", "tag", "seq", "qual"])
+
+    return own.mapInArrow(run, schema)

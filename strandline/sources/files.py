@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -89,7 +90,8 @@ def index(spark: SparkSession | None, path: str, block: int = BLOCK, headers: bo
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["start", "marks", "last"])
 
     if spark is None or len(starts) == 1:
-        counts = {s: _count(path, s, e, headers, gz) for s, e in zip(starts, ends, strict=True)}
+        with ThreadPoolExecutor(8) as pool:  # counting lets go of the interpreter while it reads
+            counts = dict(zip(starts, pool.map(lambda x: _count(path, *x, headers, gz), zip(starts, ends, strict=True)), strict=True))
     else:
         ranges = spark.createDataFrame(list(zip(starts, ends, strict=True)), "start long, finish long").repartition(len(starts))
         counts = {r["start"]: (r["marks"], r["last"]) for r in ranges.mapInArrow(run, "start long, marks long, last boolean").collect()}

@@ -16,7 +16,6 @@ from . import fasta, fastq, files
 class _Part(InputPartition):
     block: files.Block
     mate: files.Block | None = None
-    first: int = 0
 
 
 class _Reader(DataSourceReader):
@@ -33,19 +32,14 @@ class _Reader(DataSourceReader):
         if self.kind != "fastq_pairs":
             return [_Part(b) for b in one.blocks]
         two = files.index(None, self.path2, self.block)
-        if -(-one.lines // 4) != -(-two.lines // 4):
-            raise fastq.FastqError("FASTQ inputs have different number of records")
-        first = [-(-(b.before + (b.start > 0)) // 4) for b in one.blocks]
-        return [_Part(b, fastq._at_record(two.blocks, i), i) for b, i in zip(one.blocks, first, strict=True)]
+        return [_Part(b, m) for b, m in zip(one.blocks, fastq.mates(one, two), strict=True)]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         if self.kind == "fasta":
             return fastq._batches(fasta.records(part.block), fasta.ARROW)
-        own = fastq.records(part.block, self.mode, self.offset)
-        if self.kind == "fastq":
-            return fastq._batches(own, fastq.READ_ARROW)
-        mates = fastq._from_record(part.mate, part.first, self.offset)
-        return fastq._batches(((*a, *b[1:]) for a, b in zip(own, mates, strict=False)), fastq.PAIR_ARROW)
+        if self.kind == "fastq_pairs":
+            return fastq.paired_batches(part.block, part.mate, self.offset)
+        return fastq.strict_batches(part.block, self.offset) if self.mode == "strict" else fastq._batches(fastq.records(part.block, self.mode, self.offset), fastq.READ_ARROW)
 
 
 def _format(kind: str, columns: str) -> type[DataSource]:

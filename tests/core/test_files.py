@@ -163,3 +163,50 @@ def test_streaming_merge(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(pairs) p, sum(merged) m, count(*) n FROM rates").first() == (10, 10, 2)
+
+
+def test_blocks_of_any_size_give_the_same_records(spark, tmp_path):
+    """The reader by arrays against the one by lines, in blocks that begin anywhere, with and without a last newline."""
+    from strandline.sources import files
+
+    rng = random.Random(7)
+    for end in ("\n", "\r\n"):
+        reads = [(f"@t{i} @x", "".join(rng.choice("acgtNX") for _ in range(n)), "@" * n) for i, n in enumerate(rng.choices(range(1, 30), k=40))]
+        text = end.join(x for t, s, q in reads for x in (t, s, "+", q))
+        for tail in ("", end):
+            path = tmp_path / "a.fq"
+            path.write_bytes((text + tail).encode())
+            for size in (3, 17, 64, 1000, 1 << 20):
+                found = files.index(None, str(path), size)
+                by_line = [r for b in found.blocks for r in fastq.records(b)]
+                by_array = [tuple(r.values()) for b in found.blocks for x in fastq.strict_batches(b, 33) for r in x.to_pylist()]
+                assert by_line == by_array and len(by_line) == 40, (end, tail, size)
+                pairs = [tuple(r.values()) for b, m in zip(found.blocks, fastq.mates(found, files.index(None, str(path), 50)), strict=True) for x in fastq.paired_batches(b, m, 33) for r in x.to_pylist()]
+                assert pairs == [(*r, *r[1:]) for r in by_line]
+    assert all(fastq._arrays(b, 33) is not None for b in files.index(None, str(path), 64).blocks)
+
+
+def test_sharded_sink_typed_pairs_and_output_checks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from strandline.operators import asof, compare
+    from strandline.sources import sinks
+
+    pairs = generate.read_pairs(spark, 50)
+    reads = pairs.selectExpr("idx", "tag1 AS tag", "seq1 AS seq", "qual1 AS qual")
+    nulls = reads.withColumn("seq", F.when(F.col("idx") != 3, F.col("seq")))
+    sinks.write_shards(nulls, str(tmp_path / "shards"))
+    parts = sorted(str(p) for p in (tmp_path / "shards").glob("part-*"))
+    back = fastq.read_fastq(spark, parts)
+    assert back.count() == 49 and [r.tag for r in back.orderBy("idx").collect()] == [r.tag for r in reads.where("idx <> 3").orderBy("idx").collect()]
+    assert compare.multiset_difference(back, reads, ["tag", "seq", "qual"]).count() == 1
+    assert compare.out_of_order(back, reads, "tag").count() == 0
+    one = pairs.first()
+    got = merge.merge_pair((one.tag1, one.seq1, one.qual1), (one.tag2, one.seq2, one.qual2))
+    assert got.is_combined and got.seq == one.seq1 and merge.merge_pair(("@a", "ACGT", "IIII"), ("@a", "ACGT", "IIII")) == merge.Merged(False)
+    with pytest.raises(ValueError):
+        merge.merge_pair(("@a", "ACG", "IIII"), ("@a", "ACGT", "IIII"))
+    a = spark.createDataFrame([("x", 1, "p"), ("x", 5, "q"), (None, 5, "r"), ("y", None, "s"), ("y", 3, "t")], "k string, at int, name string")
+    b = spark.createDataFrame([("x", 1, 10), ("x", 4, 40), ("x", 4, 41), ("y", 9, 90), (None, 1, 7)], "k string, at int, v int")
+    joined = lambda strict: {r["name"]: r.v for r in asof.asof_join(a, b, "at", ["k"], strict, "v").collect()}
+    assert joined(False) == {"p": 10, "q": 41, "r": None, "s": None, "t": None} and joined(True)["p"] is None
