@@ -156,6 +156,7 @@ def merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
 
     def fold() -> None:
         key, n = np.concatenate(keys), np.concatenate(counts)
+        keys.clear(), counts.clear()
         order = np.argsort(key)
         key, n = key[order], n[order]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
@@ -164,7 +165,7 @@ def merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     for key, n in parts:
         keys.append(key), counts.append(n)
         held += len(key)
-        if held >= max(MERGE, len(keys[0])):
+        if held >= max(MERGE, len(keys[0]) // 2):
             fold()
             held = 0
     fold()
