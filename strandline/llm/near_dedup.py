@@ -38,8 +38,6 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 SKETCH, PART, SLACK, PART_SLACK, BLOCK = 1024, 256, 5.0, 6.0, 4096
 #: Rounds of best partners before all partners, and the darts thrown at one go (some ten arrays of so many numbers are held).
 ROUNDS, DARTS = 1, 300_000
-#: Links that one task joins to components; more are joined in rounds over all tasks.
-LINKS = 200_000
 _HASH = C.RollingHash(5)
 _U = C.U64
 
@@ -262,11 +260,12 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame) -> DataFrame:
     """(node, label): for each end of a link (a, b), the smallest node of its component.
 
-    Up to `LINKS` links are one task's; more go through rounds of lowest neighbours and label jumps.
+    Each task unites the links it reads and gives on one link for each node, to the smallest it reaches; rounds of lowest
+    neighbours and label jumps over all tasks unite the rest.
     """
     links = C.materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    if links.count() <= LINKS:
-        return C.materialize(links.repartition(1).mapInArrow(_united, "node long, label long"), "labels")
+    stars = links.mapInArrow(_united, "node long, label long").where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b"))
+    links = C.materialize(stars.distinct(), "links")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = C.materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
     while True:

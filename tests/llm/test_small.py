@@ -351,6 +351,26 @@ def test_near_dedup(spark, texts):
     assert near_dedup.near_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_components_over_many_tasks(spark):
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)]
+    rng.shuffle(links)
+    root = {x: x for a, b in links if a != b for x in (a, b)}
+    while any(root[a] != root[b] for a, b in links if a != b):
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        got = near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.node, r.label) for r in got) == sorted(root.items())
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
 def test_near_dedup_of_a_large_group_with_outsiders(spark, monkeypatch):
     """Copies of one text, some beyond the similarity; blocks far smaller than the group must find the same links."""
     rng = random.Random(2)
