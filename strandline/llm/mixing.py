@@ -160,10 +160,14 @@ def used(slots: DataFrame) -> DataFrame:
 
 
 def taken_blocks(rows: DataFrame, uses: DataFrame, block: int = BLOCK) -> DataFrame:
-    """uses, for each row whose text has words [__lo, __hi) in the used block, with its __row; joined by index."""
+    """uses, for each row whose text has words [__lo, __hi) in the used block, with its __row; joined by index.
+
+    Blocks grow with the words, but Spark takes uses to be as small as the range of runs that they are made from, and would
+    broadcast them; so the join is told to be between shuffles.
+    """
     last = F.floor((F.col("__from") + F.col("__size") - 1) / block).cast("long")
     spans = rows.where("__size > 0").select("__row", "__s", "__from", "__size", F.explode(F.sequence(F.floor(F.col("__from") / block).cast("long"), last)).alias("__b"))
-    joined = spans.join(uses, ["__s", "__b"])
+    joined = spans.join(uses.hint("merge"), ["__s", "__b"])
     lo = F.greatest(F.lit(0), F.col("__b") * block - F.col("__from"))
     hi = F.least(F.col("__size"), (F.col("__b") + 1) * block - F.col("__from"))
     return joined.select("__row", lo.alias("__lo"), hi.alias("__hi"), *[c for c in uses.columns if c != "__s"])

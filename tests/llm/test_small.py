@@ -297,6 +297,14 @@ def test_mixing(spark, texts):
     assert mixing.mix_report(spark.createDataFrame([], SCHEMA)).count() == 0 and mixing.mixed_shards(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_blocks_of_the_mix_are_not_broadcast(spark, texts):
+    rows, slots, _ = mixing.mix_sources(frame(spark, [t for t in texts if t]), block=4)
+    rows = C.materialize(rows, "mix-test")
+    for uses in (slots, mixing.used(slots)):
+        taken = mixing.taken_blocks(rows, uses, block=4)
+        assert taken.count() and "Broadcast" not in taken._jdf.queryExecution().executedPlan().toString()
+
+
 def test_draws_decide_the_mix(spark, texts):
     """Another seed gives other counts by source; no document is taken more than three times, whatever is drawn."""
     docs = frame(spark, [t for t in texts[:60] for _ in range(5)])
