@@ -309,6 +309,13 @@ def _values(group: pa.Table, depth: int, top: tuple[np.ndarray, ...]) -> pa.Tabl
 # ---- scoring ----
 
 
+def places(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where the keys are in a sorted table; looked up in their order, so that neighbours are near in memory."""
+    order, at = np.argsort(keys), np.empty(len(keys), dtype=np.int64)
+    at[order] = np.searchsorted(table, keys[order])
+    return at
+
+
 def _scored(packets: pa.Table, values: pa.Table, depth: int, tokens: int, distinct: int) -> pa.Table:
     out = []
     table = [widened(x) for x in values.column("keys").to_pylist()]
@@ -324,7 +331,7 @@ def _scored(packets: pa.Table, values: pa.Table, depth: int, tokens: int, distin
 
             def looked_up(found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
                 code, uniq = pd.factorize(found[0])
-                at = np.searchsorted(table, uniq)
+                at = places(table, uniq)
                 if len(uniq) and not np.array_equal(table[np.minimum(at, len(table) - 1)], uniq):
                     raise RuntimeError("a packet lacks values of its own keys")
                 return value[at][code], found[1]

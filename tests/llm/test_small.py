@@ -9,7 +9,9 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from strandline.llm import common as C
 from strandline.llm import ctw, fingerprints, language_id, line_dedup, mixing, near_dedup, packing, quality, secrets, substring_dedup
@@ -198,6 +200,27 @@ def test_language_model_rejects_keys_that_would_be_negative(spark, texts):
         ctw.score(frame(spark, texts[:3]), depth=7)
 
 
+def test_scoring_looks_keys_up_in_order(texts, monkeypatch):
+    own = [" ".join(t.split()).lower().encode() for t in texts if t]
+    blob = zstandard.ZstdCompressor().compress(b"\n".join(own))
+    packet = pa.RecordBatch.from_pydict({"packet": [0], "ids": [list(range(len(own)))], "held": [[False] * len(own)], "blob": [blob]})
+    found = pa.Table.from_batches(ctw._features(iter([packet]), 3, 1))
+    values = found.drop_columns(["packet", "g"]).rename_columns(["keys", "values"])
+    asked, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *x, **y: asked.append(v) or search(a, v, *x, **y))
+    got = ctw._scored(pa.Table.from_batches([packet]), values, 3, 10, 5)
+    monkeypatch.undo()
+    assert max(map(len, asked)) > 1000 and all((np.diff(np.asarray(v)) >= 0).all() for v in asked)
+    counts = Counter(own_run for t in own for own_run in runs_model(t, 3))  # the values are the counts here
+    for t, row in zip(own, got.to_pylist(), strict=True):
+        assert row["score"] == sum(counts[x] for x in runs_model(t, 3)) / -ctw._UNIT and row["n_bytes"] == len(t) + 1
+
+
+def runs_model(text, depth):
+    full = b"\n" * depth + text + b"\n"
+    return [full[i : i + depth + 1] for i in range(len(text) + 1)]
+
+
 # ---- 3 ----
 
 
