@@ -163,7 +163,7 @@ def taken_blocks(rows: DataFrame, uses: DataFrame, block: int = BLOCK) -> DataFr
     """uses, for each row whose text has words [__lo, __hi) in the used block, with its __row; joined by index.
 
     Blocks grow with the words, but Spark takes uses to be as small as the range of runs that they are made from, and would
-    broadcast them; so the join is told to be between shuffles.
+    broadcast them; so the join is told to be between shuffles, as are those of its result, which is taken to be small too.
     """
     last = F.floor((F.col("__from") + F.col("__size") - 1) / block).cast("long")
     spans = rows.where("__size > 0").select("__row", "__s", "__from", "__size", F.explode(F.sequence(F.floor(F.col("__from") / block).cast("long"), last)).alias("__b"))
@@ -179,7 +179,7 @@ def mix_report(docs: DataFrame, block: int = BLOCK, most: int = MOST, seed: int
     rows = C.materialize(rows, "mix-placed")
     took = taken_blocks(rows, used(slots), block).groupBy("__row").agg(F.sum((F.col("__hi") - F.col("__lo")) * F.col("__uses")).alias("taken"))
     stats = docs.sparkSession.createDataFrame([(i, n, t) for i, (_, n, t) in enumerate(sources)], "__s int, source_size long, target double")
-    return rows.join(stats, "__s").join(took, "__row", "left").select("doc_id", F.col("__size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(stats, "__s").join(took.hint("merge"), "__row", "left").select("doc_id", F.col("__size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def _runs(spans: list[dict]) -> list[tuple[int, int]]:
@@ -230,9 +230,9 @@ def _mixed(docs: DataFrame, block: int, most: int, seed: int, by_slot: bool) ->
     taken = taken_blocks(rows, slots if by_slot else used(slots), block)
     span = ["__lo", "__hi", "shard", "slot"] if by_slot else ["__lo", "__hi", "__uses"]
     spans = taken.groupBy("__row").agg(F.collect_list(F.struct(*span)).alias("__spans"))
-    names, sized = own.columns, spans.join(rows.select("__row", "__size"), "__row")
+    names, sized = own.columns, spans.hint("merge").join(rows.select("__row", "__size"), "__row")
     schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("slot", T.IntegerType())] * by_slot + own.schema.fields)
-    return back(texts.join(sized, "__row").mapInArrow(lambda it: _written(it, names, by_slot), schema))
+    return back(texts.join(sized.hint("merge"), "__row").mapInArrow(lambda it: _written(it, names, by_slot), schema))
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, most: int = MOST, seed: int = SEED) -> DataFrame:

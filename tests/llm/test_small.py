@@ -328,6 +328,13 @@ def test_blocks_of_the_mix_are_not_broadcast(spark, texts):
         assert taken.count() and "Broadcast" not in taken._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rows_of_the_mix_are_not_broadcast(spark, texts):
+    docs = frame(spark, texts)
+    for mix in (mixing.mix_report(docs, block=4), mixing.mixed_documents(docs, block=4), mixing.mixed_shards(docs, block=4)):
+        plan = mix._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [__row#" in plan and "BroadcastHashJoin [__row#" not in plan
+
+
 def test_draws_decide_the_mix(spark, texts):
     """Another seed gives other counts by source; no document is taken more than three times, whatever is drawn."""
     docs = frame(spark, [t for t in texts[:60] for _ in range(5)])
