@@ -25,12 +25,14 @@ def multiset_difference(one: DataFrame, two: DataFrame, columns: list[str]) -> D
 def out_of_order(output: DataFrame, source: DataFrame, key: str, order: str = "idx") -> DataFrame:
     """Rows of output whose predecessor (by output's `order`) comes later in source: key, the two places in source.
 
-    The predecessor is found in ranges: each range of output looks back one row, and ranges' last rows meet in a table of one row a range.
+    The predecessor is found in ranges: each row of a range looks back one row, then the ranges' first rows look back among the first
+    and last rows of all ranges, two a range. Rows are dealt to ranges once in the plan: bounds are sampled, and a second time may differ.
     """
     placed = output.select(F.col(order).alias("at"), F.col(key).alias("key")).join(source.select(F.col(key).alias("key"), F.col(order).alias("place")), "key")
     ranged = placed.repartitionByRange("at").withColumn("part", F.spark_partition_id())
-    before = F.lag("place").over(Window.partitionBy("part").orderBy("at"))
-    heads = ranged.groupBy("part").agg(F.max_by("place", "at").alias("place"), F.max("at").alias("at"))
-    carried = heads.select("part", F.lag("place").over(Window.orderBy("at")).alias("carried"))  # a row a range
-    rows = ranged.withColumn("before", before).join(carried, "part").withColumn("before", F.coalesce("before", "carried"))
+    own = Window.partitionBy("part").orderBy("at")
+    seen = ranged.select("*", F.lag("place").over(own).alias("before"), F.row_number().over(own).alias("nth"), F.lead(F.lit(True), 1, False).over(own).alias("more"))
+    kept = seen.where("before > place OR nth = 1 OR NOT more").withColumn("edge", F.expr("CASE WHEN nth = 1 OR NOT more THEN -1 ELSE part END"))
+    carried = F.lag("place").over(Window.partitionBy("edge").orderBy("at"))
+    rows = kept.withColumn("carried", carried).withColumn("before", F.when(F.col("nth") == 1, F.col("carried")).otherwise(F.col("before")))
     return rows.where("before > place").select(F.col("key").alias(key), "place", "before")

@@ -210,3 +210,24 @@ def test_sharded_sink_typed_pairs_and_output_checks(spark, tmp_path):
     b = spark.createDataFrame([("x", 1, 10), ("x", 4, 40), ("x", 4, 41), ("y", 9, 90), (None, 1, 7)], "k string, at int, v int")
     joined = lambda strict: {r["name"]: r.v for r in asof.asof_join(a, b, "at", ["k"], strict, "v").collect()}
     assert joined(False) == {"p": 10, "q": 41, "r": None, "s": None, "t": None} and joined(True)["p"] is None
+
+
+def test_rows_out_of_order_are_the_same_in_many_ranges(spark):
+    """Bounds of ranges are sampled: rows dealt to ranges twice would look back at other rows."""
+    from pyspark.sql import functions as F
+
+    from strandline.operators import compare
+
+    n, moved = 40000, 7
+    source = spark.range(n).select(F.col("id").alias("key"), F.col("id").alias("idx"))
+    output = source.withColumn("idx", F.col("key") + F.when(F.col("key") % 100 == moved, 50.5).otherwise(0.0))
+    settings = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = sorted(tuple(r) for r in compare.out_of_order(output, source, "key").collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == [(k, k, k + 50) for k in range(moved, n, 100)]
