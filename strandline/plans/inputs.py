@@ -46,9 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """idx, tag1, seq1, qual1, tag2, seq2, qual2."""
-    made = spark.sql(PAIRS, customer=table(spark, sf_dir, "customer"))
+def pairs(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """idx, tag1, seq1, qual1, tag2, seq2, qual2; on demand in order of idx, the keys sorted before the reads are made from them, by all cores."""
+    keys = table(spark, sf_dir, "customer")
+    if ordered:
+        keys = keys.select("c_custkey").repartitionByRange(4 * spark.sparkContext.defaultParallelism, "c_custkey").sortWithinPartitions("c_custkey")
+    made = spark.sql(PAIRS, customer=keys)
     return made.selectExpr("k AS idx", f"{TAG} AS tag1", "seq1", "qual1", f"{TAG} AS tag2", "seq2", "qual2")
 
 

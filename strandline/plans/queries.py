@@ -291,8 +291,8 @@ UNION ALL SELECT 'notCombined_2', row_number() OVER (ORDER BY k) - 1, t, seq2, q
 def _pair_files(spark, sf_dir) -> tuple[str, list[str]]:
     from ..sources import sinks
 
-    made, folder = inputs.pairs(spark, sf_dir), _folder(spark)
-    return folder, [str(sinks.write_fastq(made.selectExpr("idx", f"tag{n} AS tag", f"seq{n} AS seq", f"qual{n} AS qual"), f"{folder}/r{n}.fastq")) for n in (1, 2)]
+    made, folder = inputs.pairs(spark, sf_dir, ordered=True), _folder(spark)
+    return folder, [str(sinks.write_fastq(made.selectExpr(f"tag{n} AS tag", f"seq{n} AS seq", f"qual{n} AS qual"), f"{folder}/r{n}.fastq", [])) for n in (1, 2)]
 
 
 @query(merge_oracle(MergeParams(), _THREE))

@@ -180,7 +180,12 @@ def _block(row: dict, prefix: str = "") -> files.Block:
 
 def _blocks_frame(spark: SparkSession, blocks: list[files.Block], bases: list[int] | None = None) -> DataFrame:
     rows = [(i, b.path, b.start, b.end, b.before, b.gz, base) for i, (b, base) in enumerate(zip(blocks, bases or [0] * len(blocks), strict=True))]
-    return spark.createDataFrame(rows, f"i long, {_BLOCK}, base long").repartitionByRange(max(1, len(rows)), "i")
+    return _dealt(spark, spark.createDataFrame(rows, f"i long, {_BLOCK}, base long"), blocks)
+
+
+def _dealt(spark: SparkSession, frame: DataFrame, blocks: list[files.Block]) -> DataFrame:
+    """Rows of blocks, neighbours in one task and in order."""
+    return frame.repartitionByRange(files.tasks(spark, len(blocks), sum(b.end - b.start for b in blocks)), "i").sortWithinPartitions("i")
 
 
 def read_fastq(spark: SparkSession, path: str | list[str], mode: str = "strict", offset: int = 33, block: int = files.BLOCK) -> DataFrame:
@@ -226,7 +231,7 @@ def read_pairs(spark: SparkSession, forward: str, reverse: str, offset: int = 33
     one, two = files.index(spark, forward, block), files.index(spark, reverse, block)
     rows = [(i, *x) for i, x in enumerate((a.path, a.start, a.end, a.before, a.gz, b.path, b.start, b.end, b.before, b.gz) for a, b in zip(one.blocks, mates(one, two), strict=True))]
     other = ", ".join(f"m_{c}" for c in _BLOCK.split(", "))
-    frame = spark.createDataFrame(rows, f"i long, {_BLOCK}, {other}").repartitionByRange(max(1, len(rows)), "i")
+    frame = _dealt(spark, spark.createDataFrame(rows, f"i long, {_BLOCK}, {other}"), one.blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -76,6 +76,11 @@ class Index:
         return self.marks + (not self.ends_in_newline)
 
 
+def tasks(spark: SparkSession, blocks: int, size: int) -> int:
+    """How many tasks read so many blocks of so many bytes in all: small blocks are read several by one task."""
+    return max(1, min(blocks, max(spark.sparkContext.defaultParallelism, -(-size // BLOCK))))
+
+
 def index(spark: SparkSession | None, path: str, block: int = BLOCK, headers: bool = False) -> Index:
     """The file's blocks with their counts; counted by tasks in parallel, or here if there is no session. The driver holds a row a block."""
     gz = is_gzip(path)
@@ -93,7 +98,7 @@ def index(spark: SparkSession | None, path: str, block: int = BLOCK, headers: bo
         with ThreadPoolExecutor(8) as pool:  # counting lets go of the interpreter while it reads
             counts = dict(zip(starts, pool.map(lambda x: _count(path, *x, headers, gz), zip(starts, ends, strict=True)), strict=True))
     else:
-        ranges = spark.createDataFrame(list(zip(starts, ends, strict=True)), "start long, finish long").repartition(len(starts))
+        ranges = spark.createDataFrame(list(zip(starts, ends, strict=True)), "start long, finish long").repartition(tasks(spark, len(starts), size))
         counts = {r["start"]: (r["marks"], r["last"]) for r in ranges.mapInArrow(run, "start long, marks long, last boolean").collect()}
     marks = np.array([counts[s][0] for s in starts])
     before = np.cumsum(marks) - marks
@@ -115,11 +120,11 @@ def lines_from(block: Block, start: int, chunk: int = _STEP) -> Iterator[tuple[i
             f.seek(start - 1)
             aligned = f.read(1) == b"\n"
         f.seek(start)
-        rest, at = b"", start
-        while True:
-            data = f.read(chunk)
-            if not data:
-                break
+        rest, at, read, beyond = b"", start, start, 1 << 12
+        while data := f.read(min(chunk, block.end - read) if read < block.end else beyond):
+            if read >= block.end:  # the rest of a record that crosses the end
+                beyond = min(chunk, 2 * beyond)
+            read += len(data)
             *full, tail = (rest + data).split(b"\n")
             for line in full:
                 if aligned:

@@ -231,3 +231,15 @@ def test_rows_out_of_order_are_the_same_in_many_ranges(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert got == [(k, k, k + 50) for k in range(moved, n, 100)]
+
+
+def test_null_reads_are_dropped_where_they_are_made_once(spark, tmp_path, monkeypatch):
+    from strandline.sources import sinks
+
+    made = spark.range(100).repartitionByRange(5, "id").sortWithinPartitions("id").selectExpr("concat('@', id) AS tag", "if(id % 9 = 1, null, repeat('A', int(id % 5))) AS seq", "repeat('I', int(id % 5)) AS qual")
+    path = sinks.write_fastq(made, tmp_path / "x.fq", [])
+    assert path.read_text().split("\n")[:-1:4] == [f"@{i}" for i in range(100) if i % 9 != 1]
+    seen = []
+    monkeypatch.setattr(sinks, "write_lines", lambda df, *_: seen.append(df._jdf.queryExecution().optimizedPlan().toString()))
+    sinks.write_fastq(made, tmp_path / "y.fq", [])
+    assert "Filter" in seen[0].split("RepartitionByExpression")[0] and "Filter" not in seen[0].split("RepartitionByExpression")[1]
