@@ -32,7 +32,7 @@ def records(block: files.Block) -> Iterator[tuple[int, str, str]]:
 
 
 def read_fasta(spark: SparkSession, path: str | list[str], block: int = files.BLOCK) -> DataFrame:
-    """idx, name and seq of one or several files; lines before a file's first header are ignored. A task reads one block, and a record that crosses its end."""
+    """idx, name and seq of one or several files; lines before a file's first header are ignored. A task reads neighbouring blocks, and a record that crosses a block's end."""
     blocks, bases, base = [], [], 0
     for one in [path] if isinstance(path, str) else path:
         found = files.index(spark, one, block, headers=True)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import replace
 from itertools import islice
 
 import numpy as np
@@ -24,6 +25,7 @@ READ_SCHEMA = "idx long, tag string, seq string, qual string"
 PAIR_SCHEMA = "idx long, tag1 string, seq1 string, qual1 string, tag2 string, seq2 string, qual2 string"
 _CANON = bytes(c if c in b"ACGT" else c - 32 if c in b"acgt" else ord("N") for c in range(256))
 _BATCH = 4096
+_PIECE = 1 << 20  # bytes of a block that are held at once
 
 
 #: What is said of two files that are no pair.
@@ -107,7 +109,7 @@ def _arrays(block: files.Block, offset: int, first: int | None = None, count: in
         f.seek(max(0, block.start - 1))
         aligned = block.start == 0 or f.read(1) == b"\n"
         f.seek(block.start)
-        data = [f.read(block.end - block.start if first is None else min(block.end - block.start, files.BLOCK))]
+        data = [f.read(block.end - block.start if first is None else min(block.end - block.start, _PIECE))]
         number = 0 if block.start == 0 else block.before + (not aligned)
         lines = data[0].count(b"\n") - (not aligned)
         if first is None:
@@ -116,9 +118,11 @@ def _arrays(block: files.Block, offset: int, first: int | None = None, count: in
             count = max(0, -(-(begun - skip) // 4))
         else:
             skip = 4 * first - number
-        while lines < skip + 4 * count and (more := f.read(1 << 20)):
+        beyond = 1 << 12
+        while lines < skip + 4 * count and (more := f.read(beyond)):
             data.append(more)
             lines += more.count(b"\n")
+            beyond = min(_PIECE, 2 * beyond)
     if not count:
         return (number + skip) // 4, [pa.array([], pa.string())] * 3
     text = b"".join(data)
@@ -142,33 +146,56 @@ def _sliced(columns: list[pa.Array], schema: pa.Schema) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([c.slice(at, _BATCH) for c in columns], schema=schema)
 
 
+def _pieces(block: files.Block) -> Iterator[files.Block]:
+    """A plain block as blocks of at most _PIECE bytes, in order."""
+    if block.end - block.start <= _PIECE:
+        yield block
+        return
+    start, before = block.start, block.before
+    with files.opened(block.path) as f:
+        f.seek(start)
+        while start < block.end and (data := f.read(min(_PIECE, block.end - start))):
+            yield files.Block(block.path, start, start + len(data), before)
+            start, before = start + len(data), before + data.count(b"\n")
+
+
 def strict_batches(block: files.Block, offset: int, base: int = 0) -> Iterator[pa.RecordBatch]:
-    found = None if block.gz else _arrays(block, offset)
-    if found is None:
-        return _batches(((r[0] + base, *r[1:]) for r in records(block, "strict", offset)), READ_ARROW)
-    idx, columns = found
-    return _sliced([pa.array(np.arange(idx + base, idx + base + len(columns[0]))), *columns], READ_ARROW)
+    for piece in [block] if block.gz else _pieces(block):
+        found = None if block.gz else _arrays(piece, offset)
+        if found is None:
+            yield from _batches(((r[0] + base, *r[1:]) for r in records(piece, "strict", offset)), READ_ARROW)
+        else:
+            idx, columns = found
+            yield from _sliced([pa.array(np.arange(idx + base, idx + base + len(columns[0]))), *columns], READ_ARROW)
+
+
+def _joined(block: files.Block, mate: files.Block, offset: int) -> Iterator[tuple]:
+    other = None
+    for r in records(block, "strict", offset):
+        other = other or _from_record(mate, r[0], offset)
+        found = next(other, None)
+        if found is None or found[0] != r[0]:
+            raise FastqError(UNEQUAL)
+        yield (*r, *found[1:])
 
 
 def paired_batches(block: files.Block, mate: files.Block, offset: int) -> Iterator[pa.RecordBatch]:
-    """The records of a block beside those of the same ordinals that the other file has from `mate` on."""
-    own = None if block.gz or mate.gz else _arrays(block, offset)
-    if own is not None:
-        idx, columns = own
-        other = _arrays(mate, offset, idx, len(columns[0]))
-        if other is not None:
-            return _sliced([pa.array(np.arange(idx, idx + len(columns[0]))), *columns, *other[1]], PAIR_ARROW)
-
-    def joined() -> Iterator[tuple]:
-        other = None
-        for r in records(block, "strict", offset):
-            other = other or _from_record(mate, r[0], offset)
-            found = next(other, None)
-            if found is None or found[0] != r[0]:
-                raise FastqError(UNEQUAL)
-            yield (*r, *found[1:])
-
-    return _batches(joined(), PAIR_ARROW)
+    """The records of a block beside those of the same ordinals that the other file has from `mate` on; a piece of each is held."""
+    if block.gz or mate.gz:
+        yield from _batches(_joined(block, mate, offset), PAIR_ARROW)
+        return
+    others, ahead, far = _pieces(replace(mate, end=1 << 62)), None, mate.end - mate.start > _PIECE
+    for n, piece in enumerate(_pieces(block)):
+        first = 4 * -(-piece.before // 4)  # the first line of the piece's first record, or an earlier record's
+        while (n or far) and (ahead := ahead or next(others, None)) and ahead.before + (ahead.start > 0) <= first:
+            mate, ahead = ahead, None
+        own = _arrays(piece, offset)
+        other = None if own is None else _arrays(mate, offset, own[0], len(own[1][0]))
+        if other is None:
+            yield from _batches(_joined(piece, mate, offset), PAIR_ARROW)
+        else:
+            idx, columns = own
+            yield from _sliced([pa.array(np.arange(idx, idx + len(columns[0]))), *columns, *other[1]], PAIR_ARROW)
 
 
 _BLOCK = "path string, start long, finish long, before long, gz boolean"
@@ -189,7 +216,7 @@ def _dealt(spark: SparkSession, frame: DataFrame, blocks: list[files.Block]) ->
 
 
 def read_fastq(spark: SparkSession, path: str | list[str], mode: str = "strict", offset: int = 33, block: int = files.BLOCK) -> DataFrame:
-    """idx, tag, seq, qual of one or several FASTQ files, plain or gzip; a task reads one block. idx goes on from file to file."""
+    """idx, tag, seq, qual of one or several FASTQ files, plain or gzip; a task reads neighbouring blocks, a piece at a time. idx goes on from file to file."""
     blocks, bases, base = [], [], 0
     for one in [path] if isinstance(path, str) else path:
         found = files.index(spark, one, block)
@@ -223,7 +250,7 @@ def _from_record(block: files.Block, idx: int, offset: int) -> Iterator[tuple[in
 
 
 def read_pairs(spark: SparkSession, forward: str, reverse: str, offset: int = 33, block: int = files.BLOCK) -> DataFrame:
-    """idx and both reads of each pair. A task reads its block of the first file and the same ordinals of the second; no shuffle.
+    """idx and both reads of each pair. A task reads its blocks of the first file and the same ordinals of the second; no shuffle.
 
     Files with different numbers of records are an error before any row is made.
     """

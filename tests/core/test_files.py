@@ -233,6 +233,37 @@ def test_rows_out_of_order_are_the_same_in_many_ranges(spark):
     assert got == [(k, k, k + 50) for k in range(moved, n, 100)]
 
 
+def test_small_blocks_share_tasks_and_large_ones_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    import tracemalloc
+
+    from strandline.sources import files
+
+    rng = random.Random(3)
+    pairs = [random_pair(rng) for _ in range(300)]
+    one, two = write_pairs(tmp_path, pairs)
+    cores = spark.sparkContext.defaultParallelism
+    for frame in (fastq.read_fastq(spark, one, block=100), fastq.read_pairs(spark, one, two, block=100)):
+        assert frame.rdd.getNumPartitions() <= cores
+        assert [r.idx for r in frame.collect()] == list(range(300))
+    whole, mate = files.index(None, one).blocks[0], files.index(None, two)
+    by_line = [(*a, *b[1:]) for a, b in zip(fastq.records(whole), fastq.records(mate.blocks[0]), strict=True)]
+    for piece in (1, 40, 333, 5000):
+        monkeypatch.setattr(fastq, "_PIECE", piece)
+        for block in (777, 1 << 25):
+            found = files.index(None, one, block)
+            mates = fastq.mates(found, files.index(None, two, 900))
+            assert [tuple(r.values()) for b, m in zip(found.blocks, mates, strict=True) for x in fastq.paired_batches(b, m, 33) for r in x.to_pylist()] == by_line
+    monkeypatch.undo()
+    big = tmp_path / "big.fq"
+    big.write_text(f"@x\n{'ACGT' * 25}\n+\n{'I' * 100}\n" * 40000)
+    block = files.index(None, str(big)).blocks[0]
+    tracemalloc.start()
+    n = sum(b.num_rows for b in fastq.paired_batches(block, block, 33))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 40000 and peak < 48 << 20
+
+
 def test_null_reads_are_dropped_where_they_are_made_once(spark, tmp_path, monkeypatch):
     from strandline.sources import sinks
 
