@@ -275,11 +275,9 @@ def fasta_roundtrip(spark, sf_dir):
 @query(merge_oracle(MergeParams(), "SELECT row_number() OVER (ORDER BY k) - 1 AS idx, ok AS is_combined, CASE WHEN ok THEN tag END AS combined_tag, seq AS combined_seq, qual AS combined_qual FROM r"))
 def merge_files(spark, sf_dir):
     """Two FASTQ files written, read as pairs by blocks, and merged."""
-    from ..sources import fastq, sinks
+    from ..sources import fastq
 
-    made, folder = inputs.pairs(spark, sf_dir), _folder(spark)
-    paths = [str(sinks.write_fastq(made.selectExpr("idx", f"tag{n} AS tag", f"seq{n} AS seq", f"qual{n} AS qual"), f"{folder}/r{n}.fastq")) for n in (1, 2)]
-    done = merge.annotate(fastq.read_pairs(spark, *paths, block=1 << 16))
+    done = merge.annotate(fastq.read_pairs(spark, *_pair_files(spark, sf_dir)[1], block=1 << 16))
     return done.select("idx", "is_combined", "combined_tag", "combined_seq", "combined_qual")
 
 

@@ -44,3 +44,10 @@ def test_no_duplicated_kernels_and_pruned_scans(spark):
     assert plan.count("MapInArrow") == 1
     scan = queries.QUERIES["sql_scan_filter"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate)" in scan and "l_returnflag" not in scan.split("ReadSchema")[1]
+
+
+def test_small_blocks_of_a_pair_of_files_share_tasks(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    made = queries.QUERIES["merge_files"](spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert made.count() == 3000
